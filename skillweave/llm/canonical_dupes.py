@@ -30,7 +30,7 @@ def canonical_text(text: Column | str, labels: Sequence[str] = ()) -> Column:
     if not labels:
         return words
     cut = F.regexp_replace(words, rf"(?:^| )({'|'.join(labels)})(?= |$)", "\u0001$1")
-    parts = F.transform(F.split(cut, "\u0001"), F.trim)
+    parts = F.transform(F.split(cut, "\u0001"), lambda s: F.trim(s))
     return F.concat_ws("\u0001", F.array_sort(F.array_remove(parts, "")))
 
 
