@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Results depend on exactly these words.
 STOP_WORDS = """
@@ -94,7 +95,7 @@ def ngrams(toks: Column | str, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _clean_html(s: pd.Series) -> pd.Series:
     def one(t: str | None) -> str:
         t = unicodedata.normalize("NFKC", html.unescape(t or ""))
@@ -221,7 +222,7 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def char_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, for which Spark has no function."""
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)])
@@ -299,7 +300,7 @@ def porter(word: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem(s: pd.Series) -> pd.Series:
     """Each space-separated token stemmed."""
     return s.map(lambda t: " ".join(porter(w) for w in (t or "").split()))

@@ -1,4 +1,11 @@
-"""All queries of the core, with their SQL."""
+"""All queries of the core, with their SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from skillweave.plans import text_queries
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+for _m in (text_queries,):
+    QUERIES.update(_m.Q)
+    ORACLE.update(_m.SQL)

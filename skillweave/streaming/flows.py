@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -53,13 +55,20 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 
 
 def run_to_table(stream: DataFrame, mode: str = "append", name: str = "out") -> DataFrame:
-    """Runs a stream over all files there are and returns what it wrote, from the shared folder."""
+    """Runs a stream over all files there are and returns what it wrote, from the shared folder: all rows in
+    append mode, the last batch's whole result in complete mode."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{name}-{id(stream)}"
+    base = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
     out = f"{base}/data"
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{base}/cp").outputMode("append").trigger(availableNow=True).start()
-    else:
-        q = stream.writeStream.foreachBatch(lambda b, i: b.withColumn("batch_", F.lit(i)).write.mode("overwrite").parquet(f"{out}/b={i}")).option("checkpointLocation", f"{base}/cp").outputMode(mode).trigger(availableNow=True).start()
+    last = []
+
+    def write(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}-{i}")
+        last.append(i)
+
+    w = stream.writeStream.option("checkpointLocation", f"{base}/cp").outputMode(mode).trigger(availableNow=True)
+    q = (w.format("parquet").option("path", out) if mode == "append" else w.foreachBatch(write)).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out) if mode == "append" else spark.read.parquet(out)
+    if mode != "append" and not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(out if mode == "append" else f"{out}-{last[-1]}")
