@@ -39,7 +39,7 @@ def correlations(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
 
     def corr(a: str, b: str) -> Column:
         flat = (F.max(a) == F.min(a)) | (F.max(b) == F.min(b))
-        return F.when(~flat, F.corr(a, b))
+        return F.when(~flat, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
     return r.groupBy(group).agg(F.count("*").alias("n"), corr(x, y).alias("pearson"), corr("rx_", "ry_").alias("spearman"))
 

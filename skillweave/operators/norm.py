@@ -48,13 +48,13 @@ def place(df: DataFrame, group: str, order: list, out: str) -> DataFrame:
     """Adds the 0-based position of each row in its group under ``order``, a total order. Rows are range-
     partitioned by group and order, numbered per partition and shifted by the partitions before."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = materialize(df.repartitionByRange(parts, F.col(group), *order).withColumn("b_", F.spark_partition_id()), "places")
-    sizes = r.groupBy(F.col(group).alias("g_"), F.col("b_").alias("p_")).agg(F.count("*").alias("k_"))
-    before = Window.partitionBy("g_").orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = sizes.select("g_", "p_", F.coalesce(F.sum("k_").over(before), F.lit(0)).alias("off_"))
-    local = F.row_number().over(Window.partitionBy(F.col(group), F.col("b_")).orderBy(*order)) - 1
-    j = r.withColumn("i_", local).join(offsets, F.col(group).eqNullSafe(F.col("g_")) & (F.col("b_") == F.col("p_")))
-    return j.withColumn(out, (F.col("off_") + F.col("i_")).cast("long")).drop("g_", "p_", "off_", "i_", "b_")
+    r = materialize(df.repartitionByRange(parts, F.col(group), *order).withColumn("blk__", F.spark_partition_id()), "places")
+    sizes = r.groupBy(F.col(group).alias("grp__"), F.col("blk__").alias("par__")).agg(F.count("*").alias("cnt__"))
+    before = Window.partitionBy("grp__").orderBy("par__").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select("grp__", "par__", F.coalesce(F.sum("cnt__").over(before), F.lit(0)).alias("off__"))
+    local = F.row_number().over(Window.partitionBy(F.col(group), F.col("blk__")).orderBy(*order)) - 1
+    j = r.withColumn("pos__", local).join(offsets, F.col(group).eqNullSafe(F.col("grp__")) & (F.col("blk__") == F.col("par__")))
+    return j.withColumn(out, (F.col("off__") + F.col("pos__")).cast("long")).drop("grp__", "par__", "off__", "pos__", "blk__")
 
 
 def rank(df: DataFrame, group: str, x: str, out: str, order: str) -> DataFrame:

@@ -11,6 +11,7 @@ import json
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def valid_groups(df: DataFrame, group: str, label: str) -> DataFrame:
     return df.join(ok.select(group), group, "left_semi")
 
 
-def group_split(df: DataFrame, group: str, share: float = 0.2, seed: int = 42) -> Column:
+def group_split(df: DataFrame | None, group: str, share: float = 0.2, seed: int = 42) -> Column:
     """True for rows of the validation groups."""
     return F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(10_000)) < int(share * 10_000)
 
@@ -162,16 +163,14 @@ class LambdaMart:
 
     def predict(self, df: DataFrame, out: str = "pred") -> DataFrame:
         """Scores in Arrow batches (a sum of hundreds of trees would be too large an expression)."""
-        import pandas as pd
-
         feats, trees = list(self.cfg.features), self.trees
 
         @F.pandas_udf("double")
-        def score(*cols: pd.Series) -> pd.Series:
-            x = np.column_stack([c.fillna(0.0).to_numpy(dtype=float) for c in cols])
+        def score(rows: pd.DataFrame) -> pd.Series:
+            x = rows.fillna(0.0).to_numpy(dtype=float)
             return pd.Series(sum((LambdaMart._values(t, x) for t in trees), np.zeros(len(x))))
 
-        return df.withColumn(out, score(*[F.col(f).cast("double") for f in feats]))
+        return df.withColumn(out, score(F.struct(*[F.col(f).cast("double").alias(f) for f in feats])))
 
     def save(self, path: str) -> None:
         Path(path).write_text(json.dumps({"features": self.cfg.features, "config": {k: v for k, v in self.cfg.__dict__.items() if k != "extra"}, "trees": self.trees}))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from skillweave.functions.vectors import l2_normalize
-from skillweave.operators.knn import exact_topk, lsh_topk
+from skillweave.operators.knn import exact_topk, ivf_topk
 from skillweave.schema import require_columns
 
 BUCKETS = 16
@@ -35,10 +35,10 @@ class IndexStore:
     def build(self, df: DataFrame, kind: str = "flat") -> None:
         """Writes the index and its description; an empty input is an error."""
         p = self._prepare(df)
+        if p.isEmpty():
+            raise ValueError("no vectors to index")
         p.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/vectors")
         meta = self.load().agg(F.count("*").alias("count"), F.max(F.size("vec")).alias("dim"), F.min(F.size("vec")).alias("low")).first()
-        if not meta["count"]:
-            raise ValueError("no vectors to index")
         if meta["dim"] != meta["low"]:
             raise ValueError("vectors of different lengths")
         self.spark.createDataFrame([(meta["dim"], meta["count"], "ip", kind)], "dim int, count bigint, metric string, index_kind string").withColumn("created_at", F.current_timestamp()).write.mode("overwrite").json(f"{self.path}/meta")
@@ -60,8 +60,7 @@ class IndexStore:
         q = queries.select("query_id", l2_normalize("vec", additive=True).alias("vec"))
         if not approximate:
             return exact_topk(self.load(), q, k)
-        dim = self.spark.read.json(f"{self.path}/meta").first()["dim"]
-        return lsh_topk(self.load(), q, k, dim)
+        return ivf_topk(self.load(), q, k)
 
 
 class VectorCache:
