@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from skillweave.functions.text import norm_text, tokens
 from skillweave.functions.vectors import dot
 from skillweave.operators import bm25, norm, skills
-from skillweave.runtime import materialize
+from skillweave.runtime import materialize, spread
 from skillweave.schema import FeatureConfig, require_columns
 
 
@@ -73,7 +73,7 @@ def keyed_pairs(pairs: DataFrame, group=None) -> DataFrame:
     """The pair table with ``grp``; rows without a group are left out."""
     require_columns(pairs, ["row_id", "jd_id", "job_description_text", "resume_text"])
     g = F.lower(F.trim("jd_id")) if group is None else group
-    return pairs.withColumn("grp", g).filter("grp IS NOT NULL")
+    return spread(pairs).withColumn("grp", g).filter("grp IS NOT NULL")
 
 
 def build(pairs: DataFrame, aliases: DataFrame, cfg: FeatureConfig = FeatureConfig(), embedder: Embedder | None = None) -> DataFrame:

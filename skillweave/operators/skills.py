@@ -9,7 +9,6 @@ from skillweave.functions.text import clean_text
 from skillweave.runtime import broadcast_if_small
 
 LEX = r"([A-Za-z0-9_]+|[^A-Za-z0-9_])"
-SHIFT = 64  # words of two characters and separators: offsets fit an int
 
 
 def merge_dictionaries(*dicts: DataFrame) -> DataFrame:
@@ -41,19 +40,20 @@ def phrase_hits(docs: DataFrame, aliases: DataFrame) -> DataFrame:
     boundaries in ``docs`` (doc_id, text, cleaned). The window of each length that occurs in the
     dictionary is joined with the aliases by equality."""
     a = aliases.withColumn("n", F.size(lex(F.col("alias"))))
-    lengths = [r["n"] for r in a.select("n").distinct().collect()]  # bounded by the longest alias
+    lengths = [r["n"] for r in a.select("n").distinct().collect()] or [1]  # bounded by the longest alias
     toks = docs.select("doc_id", lex(F.col("text")).alias("t"))
-    hits = None
-    for n in sorted(lengths):
-        idx = F.when(F.size("t") >= n, F.sequence(F.lit(1), F.size("t") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        w = toks.select("doc_id", "t", F.explode(idx).alias("i"))
-        # aliases that begin or end with another sign need a boundary of their own
-        w = w.select("doc_id", F.col("i").alias("start"), F.array_join(F.slice("t", F.col("i"), F.lit(n)), "").alias("alias"), F.get("t", F.col("i") - 2).alias("before"), F.get("t", F.col("i") + n - 1).alias("after"))
-        h = w.join(broadcast_if_small(a.filter(F.col("n") == n).drop("n")), "alias")
-        word = lambda c: F.coalesce(F.col(c).rlike("^[A-Za-z0-9_]"), F.lit(False))
-        h = h.filter(~word("before") & ~word("after")).select("doc_id", "start", F.lit(n).alias("length"), "alias", "canonical", "rank")
-        hits = h if hits is None else hits.unionByName(h)
-    return hits
+
+    def windows(n: int) -> Column:
+        at = F.when(F.size("t") >= n, F.sequence(F.lit(1), F.size("t") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(
+            i.alias("start"), F.lit(n).alias("length"), F.array_join(F.slice("t", i, n), "").alias("alias"), F.get("t", i - 2).alias("before"), F.get("t", i + (n - 1)).alias("after")))
+
+    # one pass for all lengths; the generator keeps no array beside its rows
+    w = toks.select("doc_id", F.explode(F.concat(*[windows(n) for n in sorted(lengths)])).alias("w")).select("doc_id", "w.*")
+    word = lambda c: F.coalesce(F.col(c).rlike("^[A-Za-z0-9_]"), F.lit(False))
+    # aliases that begin or end with another sign need a boundary of their own
+    h = w.join(broadcast_if_small(a.withColumnRenamed("n", "length")), ["alias", "length"]).filter(~word("before") & ~word("after"))
+    return h.select("doc_id", "start", "length", "alias", "canonical", "rank")
 
 
 def leftmost(hits: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from math import ceil
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillweave.runtime import broadcast_if_small
@@ -22,34 +22,34 @@ RANK_BY_SOURCE = {"high": 3, "acronym": 2, "low": 1, "token": 0}
 RANK_BY_START = {"high": 4, "acronym": 3, "semantic": 3, "low": 2, "token": 1}
 
 
-def words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, word, pos, start): words with their character offsets."""
-    t = docs.select("doc_id", F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), F.lit(1)).alias("t"))
-    ends = F.aggregate("t", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
-    runs = F.filter(F.transform("t", lambda x, i: F.struct(x.alias("word"), i.alias("i"))), lambda s: s["word"].rlike(r"^[\p{L}\p{N}]"))
-    t = t.select("doc_id", runs.alias("r"), ends.alias("e"))
-    return t.select("doc_id", "e", F.posexplode("r").alias("pos", "s")).select("doc_id", F.col("s.word").alias("word"), "pos", F.get("e", F.col("s.i")).alias("start"))
+def runs(text: Column) -> Column:
+    """Word runs and what stands between them: joined they give the text back."""
+    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), F.lit(1))
 
 
 def tier_hits(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Phrase hits of all tiers: patterns (skill_id, source, form, case_sensitive), forms of words parted by spaces."""
-    p = patterns.withColumn("n", F.size(F.split("form", " ")))
+    """Phrase hits of all tiers: patterns (skill_id, source, form, case_sensitive), forms of words parted by spaces.
+
+    All n-grams of the lengths in use are made in one pass and joined by equality; character offsets are
+    only worked out for the hits.
+    """
+    p = patterns.withColumn("n", F.size(F.split("form", " "))).withColumn("key", F.lower("form"))
     lengths = sorted(r["n"] for r in p.select("n").distinct().collect())  # bounded by the longest form
-    w = words(docs)
-    per = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "start"))).alias("w"))  # one text
-    per = per.join(docs.select("doc_id", "text"), "doc_id")
-    out = None
-    for n in lengths:
-        idx = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        g = per.select("doc_id", "text", F.explode(F.transform(idx, lambda i: F.slice("w", i, n))).alias("g"))
-        end = F.element_at("g", -1)
-        g = g.select("doc_id", F.col("g")[0]["start"].alias("start"), (end["start"] + F.length(end["word"])).alias("end"), "text", F.array_join(F.transform("g", lambda s: s["word"]), " ").alias("gram"))
-        pn = p.filter(F.col("n") == n)
-        exact = g.join(broadcast_if_small(pn.filter("case_sensitive")), g["gram"] == F.col("form"))
-        loose = g.join(broadcast_if_small(pn.filter("NOT case_sensitive").withColumn("form", F.lower("form"))), F.lower(g["gram"]) == F.col("form"))
-        h = exact.unionByName(loose).select("doc_id", "start", "end", "skill_id", "source", F.expr("substring(text, start + 1, end - start)").alias("match"), F.lit(1.0).alias("score"))
-        out = h if out is None else out.unionByName(h)
-    return out.distinct()
+    t = docs.filter("text IS NOT NULL").select("doc_id", runs(F.col("text")).alias("t"))
+    w = t.select("doc_id", F.filter(F.transform("t", lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda s: s["w"].rlike(r"^[\p{L}\p{N}]")).alias("w"))
+
+    def grams(n: int) -> Column:
+        at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda k: F.struct(
+            F.array_join(F.transform(F.slice("w", k, n), lambda s: s["w"]), " ").alias("gram"), F.get("w", k - 1)["i"].alias("i0"), F.get("w", k + (n - 2))["i"].alias("i1"), F.lit(n).alias("n")))
+
+    g = w.select("doc_id", F.explode(F.concat(*[grams(n) for n in lengths])).alias("g")).select("doc_id", "g.*").withColumn("key", F.lower("gram"))
+    h = g.join(broadcast_if_small(p), ["key", "n"]).filter(~F.col("case_sensitive") | (F.col("gram") == F.col("form")))
+    h = h.select("doc_id", "i0", "i1", "skill_id", "source").distinct().join(t, "doc_id")
+    until = lambda i: F.length(F.array_join(F.slice("t", F.lit(1), i), ""))
+    h = h.withColumn("start", until(F.col("i0"))).withColumn("end", until(F.col("i1") + 1))
+    piece = F.array_join(F.slice("t", F.col("i0") + 1, F.col("i1") - F.col("i0") + 1), "")
+    return h.select("doc_id", "start", "end", "skill_id", "source", piece.alias("match"), F.lit(1.0).alias("score"))
 
 
 def _per_text(docs: DataFrame, patterns: list[tuple[str, list[str]]], match) -> DataFrame:

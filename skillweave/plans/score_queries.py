@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skillweave.functions import location, text
 from skillweave.operators import bm25, features, metrics, norm, occupation, ranker, skills
 from skillweave.plans import sql
-from skillweave.runtime import materialize, table
+from skillweave.runtime import materialize, spread, table
 
 Q, SQL = {}, {}
 
@@ -116,7 +116,7 @@ def _(s, d):
 
 @query("skill_extract")
 def _(s, d):
-    t = table(s, d, "documents").select("doc_id", text.clean_text("text").alias("text"))
+    t = spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", text.clean_text("text").alias("text"))
     return skills.extract(t, full_dictionary(s, d)).select("doc_id", F.size("skills").alias("n"), F.array_join("skills", ",").alias("skills"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skillweave.functions import text
 from skillweave.functions.vectors import l2_normalize, norm
 from skillweave.operators import dictionary, knn, spans
-from skillweave.runtime import materialize, shared_folder, table
+from skillweave.runtime import materialize, shared_folder, spread, table
 from skillweave.sources import tables
 from skillweave.sources.index_store import IndexStore
 from skillweave.streaming import flows
@@ -183,7 +183,7 @@ def patterns(s, d):
 
 
 def texts(s, d):
-    return table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", "text")
+    return spread(table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", "text"))
 
 
 def token_forms(s, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skillweave.functions import ids, text
 from skillweave.operators import dictionary, skills
 from skillweave.plans import sql
-from skillweave.runtime import table
+from skillweave.runtime import spread, table
 
 Q, SQL = {}, {}
 
@@ -169,7 +169,7 @@ g AS (SELECT array_to_string(t[i:i+n-1],' ') AS phrase FROM (SELECT t, n, unnest
 SELECT phrase, count(*) AS freq FROM g WHERE len(phrase) > 2 AND phrase NOT IN ('c','r','go','net','ai','ml') AND NOT regexp_matches(phrase,'^[0-9.]+$') AND phrase NOT IN (SELECT lower(alias) FROM skill_alias UNION ALL SELECT lower(skill_name) FROM skills_processed) GROUP BY 1 HAVING count(*) >= 3""")
 def _(s, d):
     known = table(s, d, "skill_alias").select("alias").unionByName(table(s, d, "skills_processed").select(F.col("skill_name").alias("alias")))
-    return skills.mine_phrases(table(s, d, "cv").select(F.col("summary").alias("text")), known)
+    return skills.mine_phrases(spread(table(s, d, "cv").select(F.col("summary").alias("text"))), known)
 
 
 @query("alias_updates")
