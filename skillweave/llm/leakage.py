@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skillweave.runtime import broadcast_if_small
+
 WORD = re.compile(r"[^\W_]+")
 WINDOW, BLOCK = 12, 2
 
@@ -103,4 +105,4 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: in
 def report(found: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, split, n_docs, n_sources) of each leaked item."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source").distinct()
-    return found.join(src, "doc_id").join(F.broadcast(items.select("item_id", "split")), "item_id").groupBy("item_id", "split").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("source").alias("n_sources"))
+    return found.join(src, "doc_id").join(broadcast_if_small(items.select("item_id", "split")), "item_id").groupBy("item_id", "split").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("source").alias("n_sources"))
