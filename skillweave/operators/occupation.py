@@ -2,25 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skillweave.functions.text import char_similarity, plain_tokens
+from skillweave.functions.text import plain_tokens, ratio
 from skillweave.runtime import broadcast_if_small
 
 
-def simple_topk(queries: DataFrame, occupations: DataFrame, k: int = 5) -> DataFrame:
+def simple_topk(queries: DataFrame, occupations: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """(query_id, occ_id, score, place): 0.6 * letter similarity of label and query + 0.4 * Jaccard of tokens.
 
-    The occupations are a dictionary; every query meets all of them, which is the feature, so they are
-    joined by broadcast if small and else by a shuffled nested loop in blocks of ``occ_block``."""
-    q = queries.select("query_id", plain_tokens("text").alias("qt"))
-    o = occupations.select("occ_id", F.lower("label").alias("label"), F.array_distinct(plain_tokens(F.concat_ws(" ", "label", "text"))).alias("ot"))
-    x = q.join(broadcast_if_small(o), F.lit(True))
-    qs = F.array_distinct("qt")
-    inter, union = F.size(F.array_intersect(qs, "ot")), F.size(F.array_union(qs, "ot"))
-    score = 0.6 * char_similarity(F.col("label"), F.array_join("qt", " ")) + 0.4 * inter / F.greatest(union, F.lit(1))
-    return _best(x.select("query_id", "occ_id", score.alias("score")), "query_id", "occ_id", k)
+    The occupations are a dictionary, read in blocks of bounded size; queries stay where they are and keep
+    ``k`` entries per block, so that only those are shuffled."""
+    spark = queries.sparkSession
+    q = queries.select("query_id", plain_tokens("text").alias("toks"))
+    o = occupations.select("occ_id", F.lower("label").alias("label"), F.array_distinct(plain_tokens(F.concat_ws(" ", "label", "text"))).alias("toks"))
+    schema = T.StructType([queries.schema["query_id"], occupations.schema["occ_id"], T.StructField("score", T.DoubleType())])
+    out, rows = spark.createDataFrame([], schema), []
+
+    def scan(entries: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(entries)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            occ = [(i, lab, set(t)) for i, lab, t in shared.value]
+            for pdf in batches:
+                hits = []
+                for qid, toks in zip(pdf["query_id"], pdf["toks"]):
+                    words, joined = set(toks), " ".join(toks)
+                    s = [(0.6 * ratio(lab, joined) + 0.4 * len(words & t) / max(len(words | t), 1), i) for i, lab, t in occ]
+                    hits += [(qid, i, x) for x, i in sorted(s, key=lambda y: (-round(y[0], 9), y[1]))[:k]]
+                yield pd.DataFrame(hits, columns=["query_id", "occ_id", "score"])
+
+        return q.mapInPandas(run, schema)
+
+    for r in o.toLocalIterator():
+        rows.append((r["occ_id"], r["label"], list(r["toks"])))
+        if len(rows) == block:
+            out, rows = out.unionByName(scan(rows)), []
+    return _best(out.unionByName(scan(rows)) if rows else out, "query_id", "occ_id", k)
 
 
 def _best(scored: DataFrame, q: str, item: str, k: int) -> DataFrame:

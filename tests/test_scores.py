@@ -203,3 +203,12 @@ def test_packs(spark):
 def test_required_columns(spark):
     with pytest.raises(ValueError, match="b"):
         require_columns(spark.range(1), ["id", "b"])
+
+
+def test_occupations_in_blocks(spark):
+    occ = spark.createDataFrame([("a", "data engineer", "builds pipelines"), ("b", "chef", "cooks"), ("c", "data analyst", "reports")], "occ_id string, label string, text string")
+    q = spark.createDataFrame([(1, "Data Engineer wanted"), (2, None)], "query_id bigint, text string")
+    got = {(r["query_id"], r["place"]): r["occ_id"] for r in occupation.simple_topk(q, occ, 2, block=2).collect()}
+    assert got[1, 1] == "a" and got[1, 2] == "c" and (2, 1) in got
+    want = 0.6 * text.ratio("data engineer", "data engineer wanted") + 0.4 * 2 / 5
+    assert occupation.simple_topk(q, occ, 1).filter("query_id = 1").first()["score"] == pytest.approx(want)
