@@ -77,12 +77,6 @@ def bm25_topk(s, d):
     return ranker.rank(n, "grp", "score", "row_id", 5)
 
 
-def word_dictionary(s, d):
-    """Names of one plain word: for these the phrase rules come down to a word test that SQL can do."""
-    sp = table(s, d, "skills_processed").filter(F.lower("skill_name").rlike("^[a-z0-9]+$"))
-    return materialize(skills.alias_table(sp.select(F.col("skill_id").alias("ord"), F.col("skill_name").alias("canonical"), F.array().cast("array<string>").alias("aliases"))), "aliases")
-
-
 def full_dictionary(s, d):
     sp = table(s, d, "skills_processed").withColumn("bare", F.trim(F.regexp_replace("skill_name", r"\s*\([^)]*\)", "")))
     al = table(s, d, "skill_alias").groupBy("skill_id").agg(F.array_sort(F.collect_list("alias")).alias("al"))
@@ -91,6 +85,7 @@ def full_dictionary(s, d):
     return materialize(skills.alias_table(j.select(F.col("skill_id").alias("ord"), F.col("bare").alias("canonical"), a.alias("aliases"))), "aliases")
 
 
+#: SQL can do the phrase rules only for names of one plain word; the queries use the full dictionary, so these SQL texts give less.
 _WORDS = f"dict AS (SELECT {sql.clean('skill_name')} AS c FROM skills_processed WHERE regexp_matches(lower(skill_name),'^[a-z0-9]+$'))"
 
 
@@ -99,7 +94,7 @@ def _sk(col: str) -> str:
 
 
 def pair_skills(s, d):
-    p, a = pairs(s, d), word_dictionary(s, d)
+    p, a = pairs(s, d), full_dictionary(s, d)
     cv = skills.extract(p.select(F.col("row_id").alias("doc_id"), text.clean_text("resume_text").alias("text")), a).withColumnRenamed("doc_id", "row_id")
     jd = bm25.first_per_group(p, "grp", F.coalesce("job_description_text", F.lit("")), F.col("row_id"), "jd_text")
     js = skills.extract(jd.select(F.col("grp").alias("doc_id"), text.clean_text("jd_text").alias("text")), a).withColumnsRenamed({"doc_id": "grp", "skills": "wanted"})
@@ -153,7 +148,7 @@ a AS (SELECT fn.grp, row_id, x, y, 0.5 * x + 0.5 * y AS combo, CASE WHEN len(wan
 
 @query("features", f"{_COMBO} SELECT row_id, round(cov, 6) AS vendor_cov, round(x, 6) + 0.0 AS bm25_full_norm, round(y, 6) + 0.0 AS bm25_skills_norm, round(combo, 6) + 0.0 AS bm25_combo, round(0.5 * cov + 0.5 * combo, 6) + 0.0 AS final_score FROM a")
 def _(s, d):
-    f = features.build(table(s, d, "dataset_train"), word_dictionary(s, d))
+    f = features.build(table(s, d, "dataset_train"), full_dictionary(s, d))
     return f.select("row_id", *[r6(c).alias(c) for c in ("vendor_cov", "bm25_full_norm", "bm25_skills_norm", "bm25_combo", "final_score")])
 
 
