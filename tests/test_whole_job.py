@@ -1,11 +1,13 @@
 """Queries that once did less than their whole job."""
 
 import re
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
 
 from skillweave.functions import text
+from skillweave.llm import residue
 from skillweave.plans import score_queries
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +49,54 @@ def test_pair_skills_use_the_full_dictionary(spark):
         s, w = set(filter(None, r["skills"].split(","))), set(filter(None, r["wanted"].split(",")))
         assert cov[k] == pytest.approx((len(s & w) + 1) / (len(w) + 2) if w else 0, abs=1e-6)
         assert whole[k] == cov[k]
+
+
+# residue ------------------------------------------------------------------------------------------
+
+
+def samples(pattern):
+    """Texts of every alternative of a pattern, repeated parts at their least and once more."""
+    from re import _parser as sre
+
+    def of(tree):
+        parts = []
+        for op, arg in tree:
+            op = str(op)
+            if op == "LITERAL":
+                parts.append([chr(arg)])
+            elif op == "NOT_LITERAL":
+                parts.append([" "])
+            elif op == "IN":
+                first = [a for a in arg if str(a[0]) != "NEGATE"][0]
+                parts.append([chr(first[1][0]) if str(first[0]) == "RANGE" else chr(first[1]) if str(first[0]) == "LITERAL" else "0" if "DIGIT" in str(first[1]) else " "])
+            elif op == "BRANCH":
+                parts.append([x for b in arg[1] for x in of(b)])
+            elif op == "SUBPATTERN":
+                parts.append(of(arg[-1]))
+            elif op == "MAX_REPEAT":
+                low, high, inner = arg
+                parts.append([x * n for n in {low, min(low + 1, int(high))} for x in of(inner)])
+            else:
+                assert op == "AT", op
+        return ["".join(x) for x in product(*parts)]
+
+    return of(sre.parse(pattern.replace(r"[^\p{L}]", r"[ ]").replace(r"\p{L}", "a-z")))
+
+
+def test_every_alternative_of_a_pattern_holds_a_trigger():
+    for patterns in residue.KINDS.values():
+        for p in patterns:
+            for x in samples(p):
+                assert any(t in x for t in residue.TRIGGERS), (p, x)
+
+
+def test_spellings_that_share_a_leaf_are_all_found(spark):
+    tail = " and then there are a good many further words behind it that fill the line up to the"
+    texts = [
+        "Your browser does not support JavaScript", "Your browser does not support JavaScript.", "Your browser does not support scripts", "Your browser does not support cookies",
+        "Sorry, but the page you are looking for does not exist", "Sorry, but the page you were looking for does not exist",
+        "Something that we have not yet told you: enable javascript to go on" + tail + " end", "Something that we have not yet told you: enable javascript to go off" + tail + " stop",
+        "<p>Page you are <b>looking</b> <i>for</i> could not be found</p>", "Lorem<br>ipsum", "A good page about ordinary work",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {r["doc_id"] for r in residue.found(docs).collect()} == {0, 1, 2, 4, 5, 6, 7, 8, 9}
