@@ -7,7 +7,7 @@ against it. All of that runs as built-in expressions inside the JVM, without a s
 Names without a label need a lexicon. It is mined from the corpus: names that stand behind a label
 ("My name is ...") give first words, and a first word seen with at least ``MIN_PARTNERS`` different
 partners enters the lexicon. The lexicon becomes one pattern while it has at most ``PATTERN_WORDS``
-words; a larger one is joined with the word pairs of the texts instead.
+words; with a larger one each text gets the same pattern over those of its own words that a join finds.
 """
 
 from __future__ import annotations
@@ -185,24 +185,28 @@ def _gated(gate: Column, text: Column, pattern: str) -> Column:
     return F.when(gate, _all(text, pattern)).otherwise(F.array().cast("array<string>"))
 
 
+def _bare_templates() -> tuple[str, str, str]:
+    """The patterns of BareNames, with <one> for the first letters of the words and <words> for the words."""
+    end = r"(?![\p{L}\p{N}@_+]|[.-][\p{L}\p{N}])"
+    before = r"[\p{L}\p{N}@._+-]"
+    gap = r"[ \x{00A0}]{1,2}"
+    tail = rf"(?:{gap}\p{{Lu}}\.)?{gap}(?:{MIDDLE}{gap})?{CAP}(?:-{CAP})?"
+    # a single character's class comes first: at most places of a text nothing else is tried
+    start = rf"<one>(?<!{before}<one>)(?<!\p{{L}},{gap}<one>)(?<=(?=<words>(?!\p{{L}}))<one>)"
+    straight = rf"{start}\p{{L}}+{tail}{end}"
+    turned = rf"[\p{{Lu}}](?<!{before}\p{{Lu}})(?<!(?=(?i:signed|thanks|regards|sincerely),)\p{{Lu}})[\p{{L}}\p{{M}}'’]+(?:-{CAP})?,{S}<words>(?!\p{{L}}){end}"
+    lower = rf"{start}\p{{Ll}}+(?:{gap}{MIDDLE})?{gap}\p{{Ll}}[\p{{Ll}}\p{{M}}'’]+(?:-\p{{Ll}}+)?{end}"
+    return straight, turned, lower
+
+
 class BareNames:
     """Unlabelled names by a lexicon: its words as they are, in upper case, and in lower case before a lower-case word."""
 
     def __init__(self, words: Iterable[str]):
         words = list(words)
-        ws = sorted({x for w in words for x in (w, w.upper())})
-        end = r"(?![\p{L}\p{N}@_+]|[.-][\p{L}\p{N}])"
-        before = r"[\p{L}\p{N}@._+-]"
-        gap = r"[ \x{00A0}]{1,2}"
-        tail = rf"(?:{gap}\p{{Lu}}\.)?{gap}(?:{MIDDLE}{gap})?{CAP}(?:-{CAP})?"
-        one = "[" + "".join(sorted({w[0] for w in ws})) + "]"
-        # a single character's class comes first: at most places of a text nothing else is tried
-        straight = rf"{one}(?<!{before}{one})(?<!\p{{L}},{gap}{one})(?<=(?={trie_pattern(ws)}(?!\p{{L}})){one})\p{{L}}+{tail}{end}"
-        turned = rf"[\p{{Lu}}](?<!{before}\p{{Lu}})(?<!(?=(?i:signed|thanks|regards|sincerely),)\p{{Lu}})[\p{{L}}\p{{M}}'’]+(?:-{CAP})?,{S}{trie_pattern(ws)}(?!\p{{L}}){end}"
-        low = sorted({w.lower() for w in words})
-        one = "[" + "".join(sorted({w[0] for w in low})) + "]"
-        lower = rf"{one}(?<!{before}{one})(?<!\p{{L}},{gap}{one})(?<=(?={trie_pattern(low)}(?!\p{{L}})){one})\p{{Ll}}+(?:{gap}{MIDDLE})?{gap}\p{{Ll}}[\p{{Ll}}\p{{M}}'’]+(?:-\p{{Ll}}+)?{end}"
-        self.patterns = (straight, turned, lower)
+        as_is, low = sorted({x for w in words for x in (w, w.upper())}), sorted({w.lower() for w in words})
+        fill = lambda t, ws: t.replace("<one>", "[" + "".join(sorted({w[0] for w in ws})) + "]").replace("<words>", trie_pattern(ws))
+        self.patterns = tuple(fill(t, ws) for t, ws in zip(_bare_templates(), (as_is, as_is, low)))
 
     def of(self, text: Column) -> Column:
         return F.concat(*[_all(text, p) for p in self.patterns])
@@ -227,12 +231,26 @@ def proposals(text: Column) -> Column:
     return F.array_distinct(F.concat(*[F.transform(a, _tag(k)) for k, a in by_kind.items()]))
 
 
+def _filled(template: str, words: Column) -> Column:
+    """The template with the words of a row, which are letters, marks and apostrophes; longer ones first."""
+    one = F.concat(F.lit("["), F.array_join(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 1))), ""), F.lit("]"))
+    longest = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    parts = {"<one>": one, "<words>": F.concat(F.lit("(?:"), F.array_join(longest, "|"), F.lit(")"))}
+    return F.concat(*[parts.get(x, F.lit(x)) for x in re.split("(<one>|<words>)", template)])
+
+
 def _bare_by_join(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(table_name, row_key, kind, found_text) of unlabelled names, for a lexicon too large for a pattern."""
-    first = rf"(?<![\p{{L}}\p{{N}}@._+-])(?=((?:{CAP}(?:-{CAP})?,{S})?[\p{{L}}\p{{M}}]{{2,}}(?:{S}\p{{Lu}}\.)?{S}(?:{MIDDLE}{S})?[\p{{L}}\p{{M}}'’]{{2,}}(?:-[\p{{L}}\p{{M}}'’]{{2,}})?)(?![\p{{L}}\p{{N}}@_+]|[.-][\p{{L}}\p{{N}}]))"
-    c = texts.select("table_name", "row_key", F.explode(_all(F.col("text"), first, 1)).alias("found_text"))
-    key = F.when(F.col("found_text").contains(","), F.regexp_extract("found_text", r"(\S+)$", 1)).otherwise(F.regexp_extract("found_text", r"^(\S+)", 1))
-    return c.withColumn("word", F.initcap(key)).join(lexicon, "word").select("table_name", "row_key", F.lit("name").alias("kind"), "found_text")
+    """(table_name, row_key, kind, found_text) of unlabelled names, for a lexicon too large for a pattern:
+    as BareNames finds them. A word can only stand where its leading letters are a whole run of letters."""
+    lead = F.regexp_extract("word", r"^\p{L}+", 0)
+    keys = lexicon.select("word", F.explode(F.array_distinct(F.array(F.lower(lead), F.lower(F.upper(lead))))).alias("k"))
+    runs = texts.select("table_name", "row_key", F.explode(F.array_distinct(_all(F.lower("text"), r"\p{L}+"))).alias("k"))
+    own = runs.join(keys, "k").groupBy(F.col("table_name").alias("t_"), F.col("row_key").alias("k_")).agg(F.collect_set("word").alias("words"))  # bounded by one text
+    c = texts.join(own, F.col("table_name").eqNullSafe(F.col("t_")) & F.col("row_key").eqNullSafe(F.col("k_")))
+    as_is = F.array_distinct(F.concat("words", F.transform("words", lambda w: F.upper(w))))
+    low = F.array_distinct(F.transform("words", lambda w: F.lower(w)))
+    found = F.concat(*[F.regexp_extract_all("text", _filled(t, ws), F.lit(0)) for t, ws in zip(_bare_templates(), (as_is, as_is, low))])
+    return c.select("table_name", "row_key", F.lit("name").alias("kind"), F.explode(found).alias("found_text"))
 
 
 def texts_of(train: DataFrame, cv: DataFrame) -> DataFrame:

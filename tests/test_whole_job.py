@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skillweave.functions import text
-from skillweave.llm import residue
+from skillweave.llm import pii, residue
 from skillweave.plans import score_queries
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +100,20 @@ def test_spellings_that_share_a_leaf_are_all_found(spark):
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     assert {r["doc_id"] for r in residue.found(docs).collect()} == {0, 1, 2, 4, 5, 6, 7, 8, 9}
+
+
+# personal information -----------------------------------------------------------------------------
+
+
+def test_bare_names_are_the_same_by_pattern_and_by_join(spark):
+    words = ["Namira", "Mark", "Anna", "O'Neil", "Quỳnh"]
+    texts = [
+        "Talk to Drollov, Namira. Then rest", "Drollov, Namira\nnext line", "Drollov, Namira went home", "Mark the date, mark drollov and MARK Drollov", "Dear Namira Drollov and Anna Mark Smith",
+        "namira văn drollov", "Smith, Anna's desk and Smith, O'Neil here", "Ask Quỳnh Thị Hoa or QUỲNH Nguyen; Namira A. Drollov-Smith", "Xnamira Drollov, anna@x.example", "nothing here", "",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_key bigint, text string").withColumn("table_name", F.lit("t"))
+    a = df.select("row_key", F.explode(pii.BareNames(words).of(F.col("text"))).alias("f")).collect()
+    b = pii._bare_by_join(df, spark.createDataFrame([(w,) for w in words], "word string")).select("row_key", "found_text").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    assert {(0, "Drollov, Namira"), (1, "Drollov, Namira"), (2, "Drollov, Namira")} <= set(map(tuple, b))
+    assert (3, "Mark the") not in set(map(tuple, b))
