@@ -29,8 +29,8 @@ AT = rf"(?:[\s\x{{00A0}}]{{0,2}}@[\s\x{{00A0}}]{{0,2}}|[\s\x{{00A0}}]{{0,2}}[\[(
 DOT = rf"(?:\.|[\s\x{{00A0}}]{{0,2}}[\[({{]\s?(?i:dot)\s?[\])}}][\s\x{{00A0}}]{{0,2}}|{S}(?i:dot){S})"
 EMAIL = rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}._%+'-]*{AT}[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}-]*(?:{DOT}[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}-]*)+"
 
-#: A text without any of these holds no address; looking for them is far cheaper than the pattern.
-AT_SIGNS = ("@", "at]", "at)", "AT]", "AT)", " dot ")
+#: What every form of AT or the DOT behind a bare "at" has; a text without it holds no address, and looking for it is far cheaper than the pattern.
+AT_SIGNS = r"@|[\[({]\s?(?i:at)\s?[\])}]|[\s\x{00A0}](?i:dot)[\s\x{00A0}]"
 
 #: Words before a number that make it a number of something else, and units behind it that do.
 NOT_PERSONAL = r"(?:invoice(?:{s}no\.?)?|sku|course|build|version|(?:contract{s})?ref\.?|order(?:{s}no\.?)?|ticket|budget|serial(?:{s}no\.?)?|part(?:{s}no\.?)?|tracking(?:{s}no\.?)?|hoá{s}đơn|đơn{s}hàng)".replace("{s}", S)
@@ -70,7 +70,7 @@ NOT_STREET = r"(?i:year|day|week|month|hour|minute|million|percent|year-long|lan
 UNIT = r"(?i:flat|unit|apt\.?|apartment|suite|số|nhà|căn[\s\x{00A0}]hộ)"
 HOUSE = r"\d{1,4}(?i:[a-d])?(?:[/-]\d{1,4}(?i:[a-d])?)?"
 ADDRESS = (
-    rf"(?=[\dFUASNC])(?<![\p{{L}}\p{{N}}/.,-])(?:{UNIT}{S}{HOUSE},?{S}(?:{HOUSE}{S})?|{HOUSE}{S})(?:"
+    rf"(?=[\dFUASNCfuasnc])(?<![\p{{L}}\p{{N}}/.,-])(?:{UNIT}{S}{HOUSE},?{S}(?:{HOUSE}{S})?|{HOUSE}{S})(?:"
     rf"(?i:đường|phố|ngõ|hẻm|đại[\s\x{{00A0}}]lộ){S}[\p{{L}}'’-]+{S}[\p{{L}}'’-]+"
     rf"|(?!{NOT_STREET}\b)[\p{{L}}'’-]+(?:{S}(?!{STREET}\b)[\p{{L}}'’-]+)?{S}{STREET}\b(?!{S}(?i:map|depot|retail|pilot)))"
 )
@@ -174,13 +174,6 @@ def mine_lexicon(names: DataFrame) -> DataFrame:
     return straight.unionByName(turned).groupBy("word").agg(F.countDistinct("partner").alias("partners")).filter(F.col("partners") >= MIN_PARTNERS).select("word")
 
 
-def _any_in(text: Column, parts: Iterable[str]) -> Column:
-    out = F.lit(False)
-    for p in parts:
-        out = out | text.contains(p)
-    return out
-
-
 def _gated(gate: Column, text: Column, pattern: str) -> Column:
     return F.when(gate, _all(text, pattern)).otherwise(F.array().cast("array<string>"))
 
@@ -222,7 +215,7 @@ def proposals(text: Column) -> Column:
         F.filter(_all(text, PHONE), lambda m: F.length(F.regexp_replace(m, r"\D", "")).between(9, 15)), lambda m: F.regexp_replace(m, r"\D+$", "")
     )
     by_kind = {
-        "email": _gated(_any_in(text, AT_SIGNS), text, EMAIL),
+        "email": _gated(text.rlike(AT_SIGNS), text, EMAIL),
         "phone": phones,
         "id_number": F.filter(F.concat(_all(text, DIGIT_ID), _all(text, LETTER_ID)), _valid_id),
         "address": _all(text, ADDRESS),

@@ -117,3 +117,11 @@ def test_bare_names_are_the_same_by_pattern_and_by_join(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     assert {(0, "Drollov, Namira"), (1, "Drollov, Namira"), (2, "Drollov, Namira")} <= set(map(tuple, b))
     assert (3, "Mark the") not in set(map(tuple, b))
+
+
+def test_gates_let_all_forms_of_their_patterns_through(spark):
+    mails = ["name@host.example", "name [ at ] host.com", "name {at} host.com", "name (At) host.com", "name AT host DOT com", "name at host\u00a0Dot\u00a0com", "name [AT] host (dot) com"]
+    places = ["flat 3, 12 oak street", "Flat 3, 12 Oak Street", "số 12 đường Lê Lợi", "unit 4 12 oak road", "apartment 9, 7 elm lane", "suite 2, 5 elm court", "nhà 12 phố Hàng Bài", "căn hộ 5, 12 đường Lê Lợi"]
+    df = spark.createDataFrame([(x, "email") for x in mails] + [(x, "address") for x in places], "x string, kind string").withColumn("text", F.concat(F.lit("Reach me: "), "x", F.lit("; thanks")))
+    got = df.select("x", "kind", F.explode(pii.proposals(F.col("text"))).alias("s")).filter("s.kind = kind").select("x", "s.found_text").collect()
+    assert sorted(map(tuple, got)) == sorted((x, x) for x in mails + places)
