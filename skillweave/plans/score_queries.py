@@ -313,9 +313,14 @@ loc AS (SELECT rev_id, CAST(CASE WHEN {_REMOTE.format('jt')} OR {_REMOTE.format(
 
 
 def places(s, d):
+    """Every cv row with one post: posts are numbered by rev_id and dealt to the rows by (rev_id - 1) modulo their
+    number. The tables have no link of their own; the SQL joins equal numbers and so gives only the first rows."""
+    from skillweave.functions.ids import rank_globally
+
     c = table(s, d, "cv").select("rev_id", "cv_location", "skills")
-    j = table(s, d, "job").select("rev_id", "description", "job_location")
-    return c.join(j, "rev_id").select("rev_id", F.coalesce(F.size("skills"), F.lit(0)).alias("n_skills"), location.score_pair("description", "job_location", "cv_location").alias("loc"))
+    j = rank_globally(table(s, d, "job").select(F.col("rev_id").alias("job_id"), "description", "job_location"), [F.col("job_id").asc()], "post")
+    c = c.withColumn("post", F.pmod(F.col("rev_id") - 1, F.lit(max(j.count(), 1))))
+    return c.join(j, "post", "left").select("rev_id", F.coalesce(F.size("skills"), F.lit(0)).alias("n_skills"), location.score_pair("description", "job_location", "cv_location").alias("loc"))
 
 
 @query("location_score", f"{_LOC} SELECT rev_id, loc FROM loc")

@@ -125,3 +125,16 @@ def test_gates_let_all_forms_of_their_patterns_through(spark):
     df = spark.createDataFrame([(x, "email") for x in mails] + [(x, "address") for x in places], "x string, kind string").withColumn("text", F.concat(F.lit("Reach me: "), "x", F.lit("; thanks")))
     got = df.select("x", "kind", F.explode(pii.proposals(F.col("text"))).alias("s")).filter("s.kind = kind").select("x", "s.found_text").collect()
     assert sorted(map(tuple, got)) == sorted((x, x) for x in mails + places)
+
+
+# places -------------------------------------------------------------------------------------------
+
+
+def test_every_cv_row_is_scored_with_a_post(spark):
+    cv = sorted(r["rev_id"] for r in spark.read.parquet(f"{SF}/cv.parquet").collect())
+    n = spark.read.parquet(f"{SF}/job.parquet").count()
+    assert len(cv) > n
+    p = score_queries.places(spark, SF).collect()
+    assert sorted(r["rev_id"] for r in p) == cv and all(r["loc"] is not None for r in p)
+    place = score_queries.Q["location_tiebreak"](spark, SF).collect()
+    assert sorted(r["place"] for r in place) == list(range(len(cv)))
