@@ -136,6 +136,33 @@ def test_redaction_keeps_the_rest(spark):
     assert got == {1: "Tel: [PHONE] or mail [EMAIL], 5 years", 2: "nothing here", 3: ""}
 
 
+def test_redaction_cuts_by_place(spark):
+    texts = ["My name is Ann Lee. The Ann Leeds award", "Card 4111 1111 1111 1111, tel: 555 0142; 5550142 units", None, "  "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1, "Mail a@b.example"), (1, "Mail a@b.example")], "row_key bigint, text string").withColumn("table_name", F.lit("t")).withColumn("start", F.lit(1))
+    got = sorted((r["row_key"], r["text"] or "") for r in pii.redacted(df).collect())
+    assert got == [(0, "My name is [NAME]. The Ann Leeds award"), (1, "Card [ID_NUMBER], tel: [PHONE]; 5550142 units"), (1, "Mail [EMAIL]"), (1, "Mail [EMAIL]"), (2, ""), (3, "  ")]
+
+
+def test_context_raises_and_lowers(spark):
+    texts = {"Seen 555 0142 today": set(), "Hotline: 555 0142 today": {("phone", "555 0142")}, "SSN: 123456789 given": {("id_number", "123456789")}, "Took 123456789 steps": set(), "Order no. 07700 900310 came": set(), "Reach me: 07700 900310": {("phone", "07700 900310")}, "Tel: 07700900 parcels": set()}
+    df = spark.createDataFrame(list(enumerate(texts)), "row_key bigint, text string").withColumn("table_name", F.lit("t"))
+    got = {}
+    for r in pii.spans(df).collect():
+        got.setdefault(r["row_key"], set()).add((r["kind"], r["found_text"]))
+        assert texts and list(texts)[r["row_key"]][r["start"] : r["start"] + len(r["found_text"])] == r["found_text"] and r["score"] >= pii.ACCEPT - 1e-9
+    assert [got.get(i, set()) for i in range(len(texts))] == list(texts.values())
+
+
+@pytest.mark.parametrize("tail", [" joined the team.", ". Then", ", who", "\n", " Lee-Marsh. x"])
+def test_both_ways_to_bare_names_agree(spark, tail, monkeypatch):
+    known = [f"My name is {n} {s}." for n in ("Namira", "Anna", "O’Brien") for s in ("Aaaaa", "Bbbbb", "Ccccc")]
+    texts = [*known, *(f"{b}{n}{tail}" for n in ("Anna", "ANNA", "anna", "Anna Drollov", "ANNA DROLLOV", "anna drollov", "Drollov, Anna", "Namira J. Drollov", "Anna Namira Drollov") for b in ("Then ", "Signed, ", "", "x@", "and "))]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_key bigint, text string").withColumn("table_name", F.lit("t"))
+    small = rows_of(pii.find(df))
+    monkeypatch.setattr(pii, "PATTERN_WORDS", 0)
+    assert rows_of(pii.find(df)) == small
+
+
 def test_checksums(spark):
     df = spark.createDataFrame([("4111111111111111", "GB82WEST12345698765432"), ("4111111111111112", "GB83WEST12345698765432")], "a string, b string")
     got = [tuple(r) for r in df.select(pii.luhn(F.col("a")), pii.mod97(F.col("b"))).collect()]
