@@ -4,20 +4,23 @@ Records are linked by shared entities (here jd_id and cv_id). Components are fou
 contraction: every node hooks to its smallest neighbour, pointer jumping shortens the chains, and
 the edges are relabelled; the graph shrinks from round to round and every round is a written table.
 
-The component table is persisted and updated batch by batch: components that exist keep their
-split, new ones fill the deficits of the splits, and components that merge records of different
-splits are quarantined.
+The component table is persisted (:class:`ComponentTable`) and updated batch by batch: components that
+exist keep their split, new ones fill the deficits of the splits, and components that merge records of
+different splits are quarantined. A component is named by its smallest jd entity, or by its smallest cv
+entity as long as it has no jd.
+
+Null and blank ids link nothing, an empty batch changes nothing, repeated rows count each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillweave.llm.words import norm_id
-from skillweave.runtime import materialize
+from skillweave.runtime import materialize, shared_folder
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 QUARANTINE = "quarantine"
@@ -63,14 +66,55 @@ def connected(edges: DataFrame, jumps: int = 2) -> DataFrame:
     return labels if labels is not None else e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+STATE_SCHEMA = "entity string, component string, split string, n_rows bigint"
+
+
+class ComponentTable:
+    """The component table under a name in the shared folder. Every commit writes a version of its own, which counts
+    once it is whole; a lost or repeated commit leaves the version before it in force."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_folder(spark)}/{name}"
+
+    def versions(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        names = [(s.getPath(), s.getPath().getName()) for s in fs.listStatus(path)]
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(n[1:]) for p, n in names if n[:1] == "v" and fs.exists(done(p, "_SUCCESS")))
+
+    def load(self) -> DataFrame | None:
+        """The latest whole version; None before the first."""
+        v = self.versions()
+        return self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.path}/v{v[-1]}") if v else None
+
+    def commit(self, state: DataFrame) -> DataFrame:
+        n = (self.versions() or [0])[-1] + 1
+        state.write.mode("overwrite").parquet(f"{self.path}/v{n}")
+        return self.load()
+
+    def add(self, rows: DataFrame, **cols) -> DataFrame:
+        """Takes a batch of rows in and gives the new state."""
+        return self.commit(update(self.load(), rows, **cols))
+
+
+def found(state: DataFrame) -> DataFrame:
+    """(jd_lo, jd_hi): the smallest jd_id of each component with each other one, read off the component table."""
+    jd = state.filter("entity LIKE 'j:%' AND entity <> component")
+    return jd.select(F.expr("substring(component, 3)").alias("jd_lo"), F.expr("substring(entity, 3)").alias("jd_hi"))
+
+
 def linked_pairs(train: DataFrame) -> DataFrame:
-    """(jd_lo, jd_hi): the smallest jd_id of each component, with each other one."""
-    ids = train.select(norm_id("jd_id").alias("jd"), norm_id("cv_id").alias("cv"))
-    roots = connected(star_edges(ids, "jd", "cv"))
-    return roots.filter("node <> root").select(F.col("root").alias("jd_lo"), F.col("node").alias("jd_hi"))
+    """The pairs of one table that is the first and only batch."""
+    return found(update(None, train))
 
 
-STATE_SCHEMA = "entity string, component string, split string, n_rows bigint"
+def _sortable(name: Column | str) -> Column:
+    """Entities so named that every jd comes before every cv, and back again."""
+    c = F.col(name) if isinstance(name, str) else name
+    return F.when(c.startswith("c:"), F.concat(F.lit("v:"), F.expr(f"substring({name}, 3)"))).when(c.startswith("v:"), F.concat(F.lit("c:"), F.expr(f"substring({name}, 3)"))).otherwise(c)
 
 
 def update(state: DataFrame | None, rows: DataFrame, jd: str = "jd_id", cv: str = "cv_id", row: str = "row_id", proportions: Mapping[str, float] = PROPORTIONS) -> DataFrame:
@@ -98,7 +142,7 @@ def update(state: DataFrame | None, rows: DataFrame, jd: str = "jd_id", cv: str
             (F.coalesce("n_rows", F.lit(0)) + F.coalesce("add_rows", F.lit(0))).cast("long").alias("n_rows"),
         ), "p4-merged",
     )
-    at = merged.select("entity", "at")
+    at = merged.select("entity", _sortable("at").alias("at"))
     pairs = (
         batch.filter("j IS NOT NULL AND c IS NOT NULL").select("j", "c").distinct()
         .join(at.withColumnsRenamed({"entity": "j", "at": "ja"}), "j").join(at.withColumnsRenamed({"entity": "c", "at": "ca"}), "c")
@@ -106,7 +150,7 @@ def update(state: DataFrame | None, rows: DataFrame, jd: str = "jd_id", cv: str
     # a right node that already is a component's name may also stand on the left: tie the two roles together
     pairs = materialize(pairs.select("ja", "ca").distinct(), "p4-pairs")
     own = pairs.select(F.col("ca").alias("ja"), F.col("ca"))
-    roots = connected(star_edges(pairs.unionByName(own), "ja", "ca"))
+    roots = connected(star_edges(pairs.unionByName(own), "ja", "ca")).select(_sortable("node").alias("node"), _sortable("root").alias("root"))
     comp = merged.join(roots, merged["at"] == roots["node"], "left").select("entity", F.coalesce("root", "at").alias("component"), "split", "n_rows")
     comp = materialize(comp, "p4-comp")
     sums = comp.groupBy("component").agg(F.sum("n_rows").alias("rows"), F.min("split").alias("lo"), F.max("split").alias("hi"))
@@ -145,3 +189,29 @@ def assign(state: DataFrame, rows: DataFrame, jd: str = "jd_id", cv: str = "cv_i
     )
     r = rows.select(F.col(f"`{row}`").alias("row_id"), key.alias("entity"))
     return r.join(state.select("entity", "component", "split"), "entity").select("row_id", "component", "split")
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(component, n_rows, n_before, state) of every component after a batch: how many components it unites, and
+    'new', 'kept' or 'quarantined'. What is kept or quarantined follows from the splits before."""
+    was = before.select("entity", F.col("component").alias("old"), F.col("split").alias("old_split"))
+    j = after.join(was, "entity", "left")
+    g = j.groupBy("component").agg(
+        F.sum("n_rows").alias("n_rows"), F.countDistinct("old").alias("n_before"), F.min("old_split").alias("lo"), F.max("old_split").alias("hi"), F.min("split").alias("s0"), F.max("split").alias("s1")
+    )
+    one = F.col("s0") == F.col("s1")
+    clash = (F.col("lo") != F.col("hi")) | (F.col("lo") == QUARANTINE)
+    state = (
+        F.when(F.col("lo").isNull() & one & F.col("s0").isin(*PROPORTIONS), "new").when(~clash & one & (F.col("s0") == F.col("lo")), "kept")
+        .when(clash & one & (F.col("s0") == QUARANTINE), "quarantined").otherwise("wrong")
+    )
+    return g.select("component", "n_rows", "n_before", state.alias("state"))
+
+
+def shares(assigned: DataFrame, proportions: Mapping[str, float] = PROPORTIONS, within: float = 0.01) -> DataFrame:
+    """(split, n_rows_all, met): per split, the number of rows assigned in all, and whether its share of them is met."""
+    total = assigned.agg(F.count("*").alias("n_rows_all"))
+    want = assigned.sparkSession.createDataFrame(list(proportions.items()), "split string, share double")
+    n = assigned.groupBy("split").agg(F.count("*").alias("n"))
+    j = want.join(n, "split", "left").crossJoin(total)  # three rows and one row
+    return j.select("split", "n_rows_all", (F.abs(F.coalesce("n", F.lit(0)) / F.col("n_rows_all") - F.col("share")) <= within).alias("met"))

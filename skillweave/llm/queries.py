@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skillweave.llm import canonical_dupes, canonical_map, cross_split, group_split, leakage, packing, pii, rank_fusion, residue, top_groups
@@ -39,21 +41,47 @@ def p3_redacted(s, d):
     return pii.redacted(_texts(s, d))
 
 
+def _components(s):
+    """A component table of its own for each run: the queries start from an empty one."""
+    return group_split.ComponentTable(s, f"p4-components-{uuid.uuid4().hex}")
+
+
 def p4_found(s, d):
-    return group_split.linked_pairs(table(s, d, "dataset_train"))
+    return group_split.found(_components(s).add(table(s, d, "dataset_train")))
 
 
 def p4_splits(s, d):
     t = table(s, d, "dataset_train")
-    return group_split.assign(group_split.update(None, t), t)
+    return group_split.assign(_components(s).add(t), t)
 
 
-def p4_incremental(s, d):
-    """Two deliveries: rows loaded before 2024, then the rest (rows without a date come last)."""
+def _two_deliveries(s, d):
+    """The component table after the rows loaded before 2024, and then the rest (rows without a date come last)."""
     t = table(s, d, "dataset_train")
     early = F.coalesce(F.col("loaded_at") < F.lit("2024-01-01").cast("timestamp"), F.lit(False))
-    state = group_split.update(group_split.update(None, t.filter(early)), t.filter(~early))
-    return state.groupBy("split").agg(F.sum("n_rows").alias("n_rows"), F.countDistinct("component").alias("n_components"))
+    comps = _components(s)
+    first = comps.add(t.filter(early))
+    return t, first, comps.add(t.filter(~early))
+
+
+def p4_incremental(s, d):
+    """Per component after two deliveries: its rows and whether its split is kept, new, or quarantined because the
+    delivery ties components of different splits together."""
+    _, first, state = _two_deliveries(s, d)
+    c = group_split.changes(first, state)
+    return c.select("component", "n_rows", "n_before", (F.col("state") != "wrong").alias("sound"))
+
+
+def p4_components(s, d):
+    t = table(s, d, "dataset_train")
+    return group_split.assign(_components(s).add(t), t).select("row_id", "component")
+
+
+def p4_shares(s, d):
+    """The splits' shares of the rows: whether each is within a point of the wanted one, and rows left without a split."""
+    t = table(s, d, "dataset_train")
+    a = materialize(group_split.assign(_components(s).add(t), t), "p4-assigned")
+    return group_split.shares(a)
 
 
 def p5_found(s, d):
