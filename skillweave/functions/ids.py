@@ -50,3 +50,8 @@ def ordinal_id(group: Column, order: Column, prefix: str = "jd") -> Column:
     """prefix + group + '-cv-' + zero-padded position in the group."""
     n = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
     return F.concat(F.lit(prefix), group.cast("string"), F.lit("-cv-"), F.lpad(n.cast("string"), 6, "0"))
+
+
+def draw(*parts: Column | str, sep: str = "|") -> Column:
+    """A number from 0 to 2^32 - 1 by the MD5 of the parts; the same in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(sep, *parts)), 1, 8), 16, 10).cast("long")

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillweave.functions.ids import draw
 from skillweave.schema import RankerConfig
 
 
@@ -36,8 +37,14 @@ def valid_groups(df: DataFrame, group: str, label: str) -> DataFrame:
 
 
 def group_split(df: DataFrame | None, group: str, share: float = 0.2, seed: int = 42) -> Column:
-    """True for rows of the validation groups."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(10_000)) < int(share * 10_000)
+    """True for rows of the validation groups; rows without a group are for training."""
+    return F.coalesce(F.pmod(draw(F.lit(str(seed)), F.col(group).cast("string")), F.lit(10_000)) < int(share * 10_000), F.lit(False)) & F.col(group).isNotNull()
+
+
+def three_way(row: str, seed: int = 42) -> Column:
+    """'train', 'validation' or 'test' at 80/10/10, row by row."""
+    u = F.pmod(draw(F.lit(str(seed)), F.col(row).cast("string")), F.lit(10))
+    return F.when(u < 8, "train").when(u < 9, "validation").otherwise("test")
 
 
 def rank(scored: DataFrame, group: str, pred: str, item: str, topk: int | None = None) -> DataFrame:
@@ -138,12 +145,19 @@ class LambdaMart:
         return sum((self._values(t, x) for t in self.trees), np.zeros(len(x)))
 
     def fit(self, df: DataFrame, group: str, label: str) -> LambdaMart:
-        """Fits on at most ``max_rows`` rows of whole groups, chosen by the hash of the group."""
+        """Fits on at most ``max_rows`` rows: of a group over ``max_group_rows`` that many rows by their hash, of all groups
+        as many as the bound allows, chosen by the hash of the group."""
         c = self.cfg
         d = valid_groups(df, group, label)
-        n = d.count()
+        sizes = d.groupBy(group).agg(F.count("*").alias("n_"))
+        n = sizes.agg(F.sum(F.least("n_", F.lit(c.max_group_rows)))).first()[0] or 0
+        d = d.join(sizes, group)
+        # a group's sample is drawn at nine tenths of its bound, so that its random size stays below it
+        share = F.when(F.col("n_") > c.max_group_rows, 0.9 * c.max_group_rows / F.col("n_")).otherwise(1.0)
+        d = d.filter(F.pmod(F.xxhash64(F.lit(c.seed), *[F.col(x) for x in (group, label, *c.features)]), F.lit(1 << 30)) < share * (1 << 30)).drop("n_")
         if n > c.max_rows:
-            d = d.filter(F.pmod(F.xxhash64(F.lit(c.seed), F.col(group)), F.lit(1_000_000)) < int(1_000_000 * c.max_rows / n))
+            d = d.filter(F.pmod(F.xxhash64(F.lit(c.seed), F.col(group)), F.lit(1_000_000)) < int(900_000 * c.max_rows / n))
+        d = d.limit(c.max_rows)  # never reached but by an odd draw
         t = d.select(F.xxhash64(group).alias("q"), F.col(label).cast("double").alias("y"), *[F.coalesce(F.nanvl(F.col(f), F.lit(0.0)), F.lit(0.0)).alias(f) for f in c.features]).toArrow()
         cols = [t[f].to_numpy() for f in c.features]
         return self.fit_arrays(np.column_stack(cols) if len(t) else np.zeros((0, len(cols))), t["y"].to_numpy(), t["q"].to_numpy())

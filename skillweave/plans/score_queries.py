@@ -85,12 +85,18 @@ def full_dictionary(s, d):
     return materialize(skills.alias_table(j.select(F.col("skill_id").alias("ord"), F.col("bare").alias("canonical"), a.alias("aliases"))), "aliases")
 
 
-#: SQL can do the phrase rules only for names of one plain word; the queries use the full dictionary, so these SQL texts give less.
-_WORDS = f"dict AS (SELECT {sql.clean('skill_name')} AS c FROM skills_processed WHERE regexp_matches(lower(skill_name),'^[a-z0-9]+$'))"
+#: The dictionary as one alternation in its order, each phrase with a boundary of its own: where it begins or ends with a
+#: word character the place must be a word boundary, elsewhere it must be none.
+DICT = rf"""d0 AS (SELECT skill_id, trim(regexp_replace(skill_name,'\s*\([^)]*\)','','g')) AS bare, abbreviation FROM skills_processed), d1 AS (SELECT skill_id, list_sort(list(alias)) AS al FROM skill_alias GROUP BY 1),
+d2 AS (SELECT skill_id, bare, list_concat([bare], CASE WHEN abbreviation <> '' THEN [abbreviation] ELSE [] END, coalesce(al, [])) AS a FROM d0 LEFT JOIN d1 USING (skill_id)), d3 AS (SELECT skill_id, bare, unnest(a) AS a, generate_subscripts(a, 1) AS pos FROM d2),
+d4 AS (SELECT {sql.clean('bare')} AS canonical, {sql.clean('a')} AS alias, skill_id || chr(1) || lpad(CAST(pos AS VARCHAR), 6, '0') AS place FROM d3), dict AS (SELECT alias, arg_max(canonical, place) AS canonical, min(place) AS rank FROM d4 WHERE alias <> '' GROUP BY 1),
+pat AS (SELECT string_agg(CASE WHEN regexp_matches(alias,'^[A-Za-z0-9_]') THEN '\b' ELSE '\B' END || regexp_escape(alias) || CASE WHEN regexp_matches(alias,'[A-Za-z0-9_]$') THEN '\b' ELSE '\B' END, '|' ORDER BY rank) AS p FROM dict)"""
 
 
-def _sk(col: str) -> str:
-    return f"list_sort(list_intersect(list_distinct(regexp_extract_all({sql.clean(col)},'[a-z0-9_]+')), (SELECT list(c) FROM dict)))"
+def sql_skills(src: str, key: str, text_sql: str, out: str) -> str:
+    """CTEs that end in ``out`` (key, skills): the sorted distinct skills of every row of ``src``."""
+    return f"""{out}_h AS (SELECT {key}, unnest(list_distinct(regexp_extract_all({text_sql}, pat.p))) AS alias FROM {src}, pat), {out}_g AS (SELECT {key}, list_sort(list(DISTINCT canonical)) AS skills FROM {out}_h JOIN dict USING (alias) GROUP BY 1),
+{out} AS (SELECT {key}, coalesce(skills, []) AS skills FROM (SELECT DISTINCT {key} FROM {src}) LEFT JOIN {out}_g USING ({key}))"""
 
 
 def pair_skills(s, d):
@@ -101,7 +107,8 @@ def pair_skills(s, d):
     return materialize(p.select("grp", "row_id").join(cv, "row_id").join(js, "grp"), "pair-skills")
 
 
-_SK = f"WITH pairs AS ({sql.PAIRS}), {_WORDS}, jd0 AS (SELECT grp, arg_min(coalesce(jd_text,''), row_id) AS jd_text FROM pairs GROUP BY 1), jsk AS (SELECT grp, {_sk('jd_text')} AS wanted FROM jd0), sk AS (SELECT grp, row_id, {_sk('resume_text')} AS skills, wanted FROM pairs JOIN jsk USING (grp))"
+_SK = f"""WITH pairs AS ({sql.PAIRS}), {DICT}, jd0 AS (SELECT grp, arg_min(coalesce(jd_text,''), row_id) AS jd_text FROM pairs GROUP BY 1), {sql_skills('jd0', 'grp', sql.clean('jd_text'), 'js')}, {sql_skills('pairs', 'row_id', sql.clean('resume_text'), 'cs')},
+jsk AS (SELECT grp, skills AS wanted FROM js), sk AS (SELECT grp, row_id, skills, wanted FROM pairs JOIN cs USING (row_id) JOIN jsk USING (grp))"""
 
 
 @query("skill_words", f"{_SK} SELECT row_id, array_to_string(skills,',') AS skills, array_to_string(wanted,',') AS wanted FROM sk")
@@ -109,7 +116,7 @@ def _(s, d):
     return pair_skills(s, d).select("row_id", F.array_join("skills", ",").alias("skills"), F.array_join("wanted", ",").alias("wanted"))
 
 
-@query("skill_extract")
+@query("skill_extract", f"WITH {DICT}, {sql_skills('documents', 'doc_id', sql.clean('text'), 'x')} SELECT doc_id, CAST(len(skills) AS INT) AS n, array_to_string(skills,',') AS skills FROM x")
 def _(s, d):
     t = spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", text.clean_text("text").alias("text"))
     return skills.extract(t, full_dictionary(s, d)).select("doc_id", F.size("skills").alias("n"), F.array_join("skills", ",").alias("skills"))
@@ -306,7 +313,7 @@ def _part(parts: str, i: int) -> str:
 
 
 _REMOTE = "(contains({0},'remote') OR contains({0},'work from home') OR contains({0},'wfh') OR contains({0},'fully remote'))"
-_LOC = f"""WITH n AS (SELECT c.rev_id, {_norm_place('j.description')} AS jt, {_norm_place('j.job_location')} AS jl, {_norm_place('c.cv_location')} AS cl FROM cv c JOIN job j ON c.rev_id = j.rev_id),
+_LOC = f"""WITH n AS (SELECT c.rev_id, {_norm_place('j.description')} AS jt, {_norm_place('j.job_location')} AS jl, {_norm_place('c.cv_location')} AS cl FROM cv c LEFT JOIN (SELECT *, row_number() OVER (ORDER BY rev_id) - 1 AS post FROM job) j ON j.post = (c.rev_id - 1) % (SELECT count(*) FROM job)),
 p AS (SELECT *, list_filter(list_transform(string_split(jl,','), lambda x: trim(x)), lambda x: x <> '') AS a, list_filter(list_transform(string_split(cl,','), lambda x: trim(x)), lambda x: x <> '') AS b FROM n),
 q AS (SELECT *, {_part('a', 1)} AS ac, {_part('a', 2)} AS ap, coalesce(a[-1],'') AS ak, {_part('b', 1)} AS bc, {_part('b', 2)} AS bp, coalesce(b[-1],'') AS bk FROM p),
 loc AS (SELECT rev_id, CAST(CASE WHEN {_REMOTE.format('jt')} OR {_REMOTE.format('jl')} THEN 1.0 WHEN jl = '' THEN 1.0 WHEN cl = '' THEN 0.85 WHEN ac <> '' AND ac = bc THEN 1.0 WHEN ap <> '' AND ap = bp THEN 0.9 WHEN ak <> '' AND ak = bk THEN 0.8 ELSE 0.6 END AS DOUBLE) AS loc FROM q)"""
@@ -314,7 +321,7 @@ loc AS (SELECT rev_id, CAST(CASE WHEN {_REMOTE.format('jt')} OR {_REMOTE.format(
 
 def places(s, d):
     """Every cv row with one post: posts are numbered by rev_id and dealt to the rows by (rev_id - 1) modulo their
-    number. The tables have no link of their own; the SQL joins equal numbers and so gives only the first rows."""
+    number, as the tables have no link of their own."""
     from skillweave.functions.ids import rank_globally
 
     c = table(s, d, "cv").select("rev_id", "cv_location", "skills")

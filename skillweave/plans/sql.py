@@ -44,3 +44,15 @@ def bm25(docs: str, query: str, out: str) -> str:
   FROM {out}_tf t JOIN {query} q ON q.grp = t.grp AND q.term = t.term JOIN {out}_i i ON i.grp = t.grp AND i.term = t.term
   JOIN {docs} d ON d.grp = t.grp AND d.row_id = t.row_id JOIN {out}_n n ON n.grp = t.grp GROUP BY 1, 2),
 {out} AS (SELECT d.grp, d.row_id, coalesce(score, 0) AS score FROM {docs} d LEFT JOIN {out}_s s ON s.grp = d.grp AND s.row_id = d.row_id)"""
+
+
+#: The surface forms and patterns of the skill list: ends in forms (skill_id, high, low, match_on_tokens) and patterns.
+PATTERNS = r"""f0 AS (SELECT *, string_split(skill_stemmed, ' ') AS st, regexp_replace(skill_name, '[(\[].*?[)\]]', '', 'g') AS bare FROM skills_processed), fm AS (SELECT token, count(*) AS n FROM (SELECT unnest(st) AS token FROM f0 WHERE skill_len > 1) WHERE token <> '' GROUP BY 1),
+f1 AS (SELECT f0.*, st[1] AS a, st[-1] AS z, coalesce(x.n, 0) AS na, coalesce(y.n, 0) AS nz FROM f0 LEFT JOIN fm x ON x.token = st[1] LEFT JOIN fm y ON y.token = st[-1]),
+f2 AS (SELECT *, list_concat(CASE WHEN skill_len = 2 AND nz = 1 THEN [z] ELSE [] END, CASE WHEN skill_len = 2 AND nz > 0 AND na / greatest(nz, 1) < 0.2 THEN [a] ELSE [] END) AS uni FROM f1), fu AS (SELECT list(u) AS us FROM (SELECT u FROM (SELECT unnest(uni) AS u FROM f2) GROUP BY 1 HAVING count(*) = 1)),
+fs AS (SELECT skill_id, skill_len, list_concat(regexp_extract_all(bare, '\b[A-Z]{2,}\b'), regexp_extract_all(bare, '\b[A-Z](?:&[A-Z])+\b'), regexp_extract_all(bare, '\b[A-Z](?:\.[A-Z])+\b')) AS acrs FROM f0 WHERE skill_len > 1),
+fa AS (SELECT list(acr) AS sole FROM (SELECT acr FROM (SELECT unnest(acrs) AS acr FROM fs) GROUP BY 1 HAVING count(*) = 1)),
+forms AS (SELECT skill_id, CASE WHEN f2.skill_len = 1 THEN skill_cleaned WHEN f2.skill_len > 1 THEN skill_lemmed END AS high, CASE WHEN f2.skill_len = 1 AND match_on_stemmed THEN [skill_stemmed]
+WHEN f2.skill_len = 2 THEN list_concat([skill_stemmed, z || ' ' || a], list_filter(uni, lambda x: list_contains(us, x))) WHEN f2.skill_len > 2 THEN coalesce(list_sort(list_filter(acrs, lambda x: list_contains(sole, x))), []) ELSE [] END AS low, f2.skill_len > 2 AS match_on_tokens FROM f2 LEFT JOIN fs USING (skill_id), fu, fa),
+lows AS (SELECT skill_id, form, regexp_matches(form, '^[A-Z&.]{2,}$') AND (len(form) > 2 OR form IN ('SQL', 'NLP', 'AI', 'ML')) AS up FROM (SELECT skill_id, unnest(low) AS form FROM forms) WHERE form <> ''),
+patterns AS (SELECT skill_id, 'high' AS source, high AS form, false AS case_sensitive FROM forms WHERE high <> '' UNION SELECT skill_id, CASE WHEN up THEN 'acronym' ELSE 'low' END, form, up FROM lows)"""

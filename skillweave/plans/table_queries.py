@@ -29,6 +29,9 @@ def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
 
+_DRAW = "('0x' || substr(md5('42|' || {}), 1, 8))::BIGINT"
+
+
 def emb(s, d):
     return table(s, d, "embeddings").filter("embedding IS NOT NULL").select(F.col("vec_id").alias("item_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"), "label")
 
@@ -152,7 +155,8 @@ def _(s, d):
     return tables.insert_missing(link("dataset_train"), link("dataset_test"), ["jd_id", "cv_id"])
 
 
-@query("link_sample_k")
+@query("link_sample_k", f"""WITH r AS (SELECT id AS job_id, row_number() OVER (ORDER BY id) - 1 AS slot FROM (SELECT DISTINCT id FROM job WHERE id IS NOT NULL)), n AS (SELECT count(*) AS n FROM r),
+l AS (SELECT id, n, unnest(range(0, least(3, n))) AS j FROM (SELECT DISTINCT id FROM cv WHERE id IS NOT NULL), n) SELECT l.id, r.job_id FROM l JOIN r ON r.slot = ({_DRAW.format('l.id')} % n + j * greatest(n // 3, 1)) % n""")
 def _(s, d):
     return tables.sample_links(table(s, d, "cv").filter("id IS NOT NULL"), table(s, d, "job").filter("id IS NOT NULL").withColumnRenamed("id", "job_id"), "id", "job_id", 3)
 
@@ -168,14 +172,21 @@ def _(s, d):
     return table(s, d, "cv").select("rev_id", F.size(text.comma_list("cv_location")).cast("long").alias("n"))
 
 
-@query("group_split", "SELECT count(*) AS n, count(DISTINCT jd_id) AS n_groups FROM features")
+@query("group_split", f"SELECT jd_id, count(*) AS n, {_DRAW.format('jd_id')} % 10000 < 2000 AS val FROM features GROUP BY 1")
 def _(s, d):
-    """The two sides of the group split together are the whole table, and share no group."""
+    """The side of every row, as rows per group and side: a group on both sides would have two rows."""
     from skillweave.operators.ranker import group_split
 
-    f = table(s, d, "features").withColumn("val", group_split(None, "jd_id"))
-    g = f.groupBy("val").agg(F.count("*").alias("n"), F.countDistinct("jd_id").alias("g"))
-    return g.agg(F.sum("n").alias("n"), F.sum("g").alias("n_groups"))
+    return table(s, d, "features").withColumn("val", group_split(None, "jd_id")).groupBy("jd_id", "val").agg(F.count("*").alias("n"))
+
+
+@query("row_split", f"SELECT split, count(*) AS n, min(row_id) AS first_id, sum(row_id)::BIGINT AS total FROM (SELECT row_id, CASE WHEN u < 8 THEN 'train' WHEN u < 9 THEN 'validation' ELSE 'test' END AS split FROM (SELECT row_id, {_DRAW.format('row_id')} % 10 AS u FROM dataset_train)) GROUP BY 1")
+def _(s, d):
+    """The 80/10/10 split of rows that a fine-tuning of the encoder starts from."""
+    from skillweave.operators.ranker import three_way
+
+    t = table(s, d, "dataset_train").select("row_id", three_way("row_id").alias("split"))
+    return t.groupBy("split").agg(F.count("*").alias("n"), F.min("row_id").alias("first_id"), F.sum("row_id").alias("total"))
 
 
 def patterns(s, d):

@@ -138,9 +138,10 @@ def _(s, d):
     return dictionary.unique_tokens(table(s, d, "skills_processed"))
 
 
-@query("surface_forms")
+@query("surface_forms", f"WITH {sql.PATTERNS} SELECT skill_id, high, array_to_string(low, '|') AS low, match_on_tokens FROM forms")
 def _(s, d):
-    return dictionary.surface_forms(table(s, d, "skills_processed"))
+    f = dictionary.surface_forms(table(s, d, "skills_processed"))
+    return f.select("skill_id", "high", F.array_join("low", "|").alias("low"), "match_on_tokens")
 
 
 @query("skill_processing")
@@ -148,7 +149,7 @@ def _(s, d):
     return dictionary.processed(table(s, d, "skills_processed").select("skill_id", "skill_name", "skill_type"))
 
 
-@query("match_patterns")
+@query("match_patterns", f"WITH {sql.PATTERNS} SELECT skill_id, source, form, case_sensitive FROM patterns")
 def _(s, d):
     return dictionary.match_patterns(dictionary.surface_forms(table(s, d, "skills_processed")))
 
@@ -191,13 +192,10 @@ def _(s, d):
 _PARTS = r"list_filter(list_transform(regexp_split_to_array(coalesce(summary,''),'\r?\n|\\n'), lambda p: " + sql.collapse("p") + "), lambda p: len(p) >= 2)"
 
 
-@query("esco_labels", f"SELECT rev_id, len(p) AS n_parts, coalesce(p[1],'') AS first_label FROM (SELECT rev_id, {_PARTS} AS p FROM (SELECT rev_id, summary FROM cv WHERE summary IS NOT NULL)) WHERE len(p) = len(list_distinct(list_transform(p, lambda x: lower(x))))")
+@query("esco_labels", f"SELECT rev_id, len(u) AS n_parts, coalesce(u[1],'') AS first_label, array_to_string(u, '|') AS labels FROM (SELECT rev_id, list_filter(p, lambda x, i: list_position(list_transform(p, lambda y: lower(y)), lower(x)) = i) AS u FROM (SELECT rev_id, {_PARTS} AS p FROM cv))")
 def _(s, d):
-    """Texts whose parts are all different; duplicates within a text are covered by tests."""
-    c = table(s, d, "cv").filter("summary IS NOT NULL")
-    parts = F.filter(F.transform(F.split("summary", r"\r?\n|\\n"), lambda p: text.collapse(p)), lambda p: F.length(p) >= 2)
-    t = c.select("rev_id", text.label_parts("summary").alias("p"), F.size(parts).alias("n"))
-    return t.filter(F.size("p") == F.col("n")).select("rev_id", F.size("p").cast("long").alias("n_parts"), F.coalesce(F.get("p", F.lit(0)), F.lit("")).alias("first_label"))
+    t = table(s, d, "cv").select("rev_id", text.label_parts("summary").alias("p"))
+    return t.select("rev_id", F.size("p").cast("long").alias("n_parts"), F.coalesce(F.get("p", F.lit(0)), F.lit("")).alias("first_label"), F.array_join("p", "|").alias("labels"))
 
 
 @query("dict_merge", """WITH r AS (SELECT skill_name AS canonical, 0 AS src, 0 AS pos, skill_name AS alias FROM skills_processed UNION ALL SELECT skill_name, 0, 1, abbreviation FROM skills_processed WHERE abbreviation <> ''

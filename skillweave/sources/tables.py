@@ -33,12 +33,12 @@ def insert_missing(existing: DataFrame, new: DataFrame, keys: list[str]) -> Data
 def sample_links(left: DataFrame, right: DataFrame, lkey: str, rkey: str, k: int) -> DataFrame:
     """k pseudo-random partners per left row, without a cross join: for each draw the left row's hash lands
     on a slot of the numbered right rows."""
-    from skillweave.functions.ids import rank_globally
+    from skillweave.functions.ids import draw, rank_globally
 
     r = rank_globally(right.select(F.col(rkey).alias("r_")).distinct(), [F.col("r_")], "slot")
     n = r.agg(F.count("*").alias("n_"))
     draws = left.select(F.col(lkey).alias("l_")).distinct().join(F.broadcast(n)).withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("n_").cast("int")) - 1)))
-    start = F.pmod(F.hash(F.lit(42), "l_").cast("long"), F.col("n_"))
+    start = F.pmod(draw(F.lit("42"), F.col("l_").cast("string")), F.col("n_"))
     step = F.greatest(F.floor(F.col("n_") / F.greatest(F.lit(k), F.lit(1))), F.lit(1))
     s = draws.withColumn("slot", F.pmod(start + F.col("j") * step, F.col("n_")).cast("long"))
     return s.join(broadcast_if_small(r), "slot").select(F.col("l_").alias(lkey), F.col("r_").alias(rkey))
