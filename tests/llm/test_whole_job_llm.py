@@ -42,7 +42,10 @@ def samples(pattern):
 
 def test_every_alternative_of_a_pattern_holds_an_anchor():
     for anchors, p in residue.PATTERNS:
-        for x in samples(p):
+        plain = p.replace(r"[^\p{L}\p{N}]", r"[\W_]").replace(r"[^\p{L}]", r"[\W\d_]").replace(r"\p{L}", r"[^\W\d_]")
+        matches = [x for x in samples(p) if re.search(plain, x)]  # the sampler knows no word edges
+        assert matches, p
+        for x in matches:
             assert any(re.search(rf"\b{a}\b", x) for a in anchors.split()), (p, x)
 
 
