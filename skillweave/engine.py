@@ -56,6 +56,6 @@ class Engine:
 
     def annotate(self, docs: DataFrame, patterns: DataFrame, skills: DataFrame, relax: float = 0.2, overlaps: bool = False) -> DataFrame:
         """(doc_id, text, results, unique_skills) with all tiers and the token scanner."""
-        toks = [(r["skill_id"], r["form"].lower().split(" ")) for r in patterns.filter("source = 'high'").select("skill_id", "form").collect()]  # the skill dictionary
-        hits = spans.tier_hits(docs, patterns).unionByName(spans.window_hits(docs, toks, relax))
-        return spans.annotation(docs, hits if overlaps else spans.resolve(hits), skills)
+        high = spans.dictionary_rows(patterns.filter("source = 'high'").select("skill_id", "form"))
+        hits = spans.scan(docs, patterns, [(r["skill_id"], r["form"].lower().split(" ")) for r in high], relax, None if overlaps else "source")
+        return spans.annotation(docs, hits, skills)

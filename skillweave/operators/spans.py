@@ -1,13 +1,16 @@
 """Skill spans in token sequences: tiers, windows, relaxed matches and overlap resolution.
 
-The lexer is ours: runs of letters and digits and single other signs, with 0-based character offsets.
-Phrases of n words meet the n-grams of a text by an equality join. The sequential parts (windows,
-greedy resolution) work inside one text's array, never across texts.
+The lexer is ours: runs of letters and digits, with 0-based character offsets. A text is read once: its
+words walk down a trie of the phrases, and only patterns with enough of their words in the text are tried
+as windows. All of that, and the choice between overlapping spans, works inside one text, in Arrow
+batches without a shuffle; the patterns are a dictionary of checked size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from math import ceil
 
 import pandas as pd
@@ -22,64 +25,122 @@ RANK_BY_SOURCE = {"high": 3, "acronym": 2, "low": 1, "token": 0}
 RANK_BY_START = {"high": 4, "acronym": 3, "semantic": 3, "low": 2, "token": 1}
 
 
-def runs(text: Column) -> Column:
-    """Word runs and what stands between them: joined they give the text back."""
-    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), F.lit(1))
-
+#: Patterns are sent to every worker up to this number; more are refused, not cut.
+MOST_PATTERNS = 5_000_000
+LEXER = re.compile(r"[^\W_]+")
+
+
+def dictionary_rows(df: DataFrame) -> list:
+    """The rows of a pattern table, which must be a dictionary."""
+    rows = df.limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
+    return rows
+
+
+class Phrases:
+    """A trie over the words of the phrases (skill_id, source, form, case_sensitive); forms of words parted by spaces."""
+
+    def __init__(self, patterns: Iterable[tuple[str, str, str, bool]]):
+        self.root: dict = {}
+        for sid, source, form, case in patterns:
+            at = self.root
+            for w in form.lower().split(" "):
+                at = at.setdefault(w, {})
+            at.setdefault(None, []).append((sid, source, form if case else None))
+
+    def hits(self, words: list[str], low: list[str]) -> set[tuple[int, int, str, str]]:
+        """(first word, last word, skill_id, source) of every phrase in the text."""
+        out = set()
+        for i, w in enumerate(low):
+            at, j = self.root.get(w), i
+            while at is not None:
+                for sid, source, form in at.get(None, ()):
+                    if form is None or form == " ".join(words[i : j + 1]):
+                        out.add((i, j, sid, source))
+                j += 1
+                at = at.get(low[j]) if j < len(low) else None
+        return out
+
+
+class Windows:
+    """Patterns (skill_id, words) that are matched by ``match(low, words)``; ``least`` says how many of a pattern's
+    distinct words a text must hold at all."""
+
+    def __init__(self, patterns: Iterable[tuple[str, list[str]]], match, least):
+        self.patterns = {sid: toks for sid, toks in patterns}  # a skill's last form counts
+        self.match, self.need, self.by_word = match, {}, {}
+        for sid, toks in self.patterns.items():
+            self.need[sid] = least(toks)
+            for t in set(toks):
+                self.by_word.setdefault(t, []).append(sid)
 
-def tier_hits(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Phrase hits of all tiers: patterns (skill_id, source, form, case_sensitive), forms of words parted by spaces.
+    def hits(self, words: list[str], low: list[str]) -> Iterator[tuple[int, int, str, str, float]]:
+        seen: dict[str, int] = {}
+        for w in set(low):
+            for sid in self.by_word.get(w, ()):
+                seen[sid] = seen.get(sid, 0) + 1
+        for sid in sorted(s for s, n in seen.items() if n >= self.need[s]):
+            for i, j, source, score in self.match(low, self.patterns[sid]):
+                yield i, j, sid, source, score
 
-    All n-grams of the lengths in use are made in one pass and joined by equality; character offsets are
-    only worked out for the hits.
-    """
-    p = patterns.withColumn("n", F.size(F.split("form", " "))).withColumn("key", F.lower("form"))
-    lengths = sorted(r["n"] for r in p.select("n").distinct().collect())  # bounded by the longest form
-    t = docs.filter("text IS NOT NULL").select("doc_id", runs(F.col("text")).alias("t"))
-    w = t.select("doc_id", F.filter(F.transform("t", lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda s: s["w"].rlike(r"^[\p{L}\p{N}]")).alias("w"))
-
-    def grams(n: int) -> Column:
-        at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda k: F.struct(
-            F.array_join(F.transform(F.slice("w", k, n), lambda s: s["w"]), " ").alias("gram"), F.get("w", k - 1)["i"].alias("i0"), F.get("w", k + (n - 2))["i"].alias("i1"), F.lit(n).alias("n")))
-
-    g = w.select("doc_id", F.explode(F.concat(*[grams(n) for n in lengths])).alias("g")).select("doc_id", "g.*").withColumn("key", F.lower("gram"))
-    h = g.join(broadcast_if_small(p), ["key", "n"]).filter(~F.col("case_sensitive") | (F.col("gram") == F.col("form")))
-    h = h.select("doc_id", "i0", "i1", "skill_id", "source").distinct().join(t, "doc_id")
-    until = lambda i: F.length(F.array_join(F.slice("t", F.lit(1), i), ""))
-    h = h.withColumn("start", until(F.col("i0"))).withColumn("end", until(F.col("i1") + 1))
-    piece = F.array_join(F.slice("t", F.col("i0") + 1, F.col("i1") - F.col("i0") + 1), "")
-    return h.select("doc_id", "start", "end", "skill_id", "source", piece.alias("match"), F.lit(1.0).alias("score"))
-
-
-def _per_text(docs: DataFrame, patterns: list[tuple[str, list[str]]], match) -> DataFrame:
-    """Runs ``match(words, pattern)`` for every text; patterns are a dictionary."""
-    import re
 
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(patterns)
-    lexer = re.compile(r"[^\W_]+")
+def _read(docs: DataFrame, make, choose=None) -> DataFrame:
+    """One pass over the texts: ``make()`` gives the matchers of a worker, ``choose`` picks among a text's spans."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_first: dict[str, list[tuple[str, list[str]]]] = {}
-        for sid, toks in shared.value:
-            for t in set(toks):
-                by_first.setdefault(t, []).append((sid, toks))
+        matchers = make()
         for pdf in batches:
             rows = []
             for d, text in zip(pdf["doc_id"], pdf["text"]):
-                ms = list(lexer.finditer(text))
-                low = [m[0].lower() for m in ms]
-                todo = {sid: toks for w in set(low) for sid, toks in by_first.get(w, ())}
-                for sid in sorted(todo):
-                    for i, j, source, score in match(low, todo[sid]):
+                ms = list(LEXER.finditer(text))
+                words = [m[0] for m in ms]
+                low = [w.lower() for w in words]
+                found = []
+                for m in matchers:
+                    for i, j, sid, source, *score in m.hits(words, low):
                         s, e = ms[i].start(), ms[j].end()
-                        rows.append((d, s, e, sid, source, text[s:e], score))
+                        found.append((s, e, sid, source, text[s:e], score[0] if score else 1.0))
+                rows += [(d, *f) for f in (choose(found) if choose else found)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "skill_id", "source", "match", "score"])
 
     return docs.filter("text IS NOT NULL").select("doc_id", "text").mapInPandas(run, HIT)
 
 
+def tier_hits(docs: DataFrame, patterns: DataFrame, resolved: str | None = None) -> DataFrame:
+    """Phrase hits of all tiers: patterns (skill_id, source, form, case_sensitive), forms of words parted by spaces.
+
+    ``resolved``: 'source' or 'start' keeps the spans that :func:`resolve` would, in the same pass.
+    """
+    return scan(docs, patterns, None, resolved=resolved)
+
+
+def scan(docs: DataFrame, patterns: DataFrame, forms: list[tuple[str, list[str]]] | None, relax: float = 0.2, resolved: str | None = None) -> DataFrame:
+    """Phrases and, with ``forms``, token windows in one pass over the texts."""
+    rows = [tuple(r) for r in dictionary_rows(patterns.select("skill_id", "source", "form", "case_sensitive"))]
+    shared = docs.sparkSession.sparkContext.broadcast((rows, forms))
+
+    def make():
+        tiers, toks = shared.value
+        return [Phrases(tiers)] + ([_windows(toks, relax)] if toks is not None else [])
+
+    return _read(docs, make, (lambda found: pick(found, resolved)) if resolved else None)
+
+
+def _per_text(docs: DataFrame, patterns: list[tuple[str, list[str]]], match, least) -> DataFrame:
+    """Runs ``match(words, pattern)`` for every text; patterns are a dictionary."""
+    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+    return _read(docs, lambda: [Windows(shared.value, match, least)])
+
+
+def _share(relax: float):
+    return lambda toks: ceil((1 - relax) * len(toks))
+
+
+def _windows(patterns: list[tuple[str, list[str]]], relax: float) -> Windows:
+    return Windows(patterns, lambda low, toks: token_window(low, toks, relax), _share(relax))
+
+
 def token_window(low: list[str], toks: list[str], relax: float = 0.2) -> list[tuple[int, int, str, float]]:
     """Windows of len + floor(relax * len) words holding at least ceil((1 - relax) * len) of the distinct
     words; the last word of a text starts no window; forms of under three words don't count."""
@@ -87,11 +148,14 @@ def token_window(low: list[str], toks: list[str], relax: float = 0.2) -> list[tu
     if n < 3:
         return []
     need, win, want = ceil((1 - relax) * n), n + int(relax * n), set(toks)
+    at = [k for k, w in enumerate(low) if w in want]
     out = []
-    for i in range(max(0, len(low) - 1)):
-        j = min(len(low), i + win)
-        if len(want & set(low[i:j])) >= need:
-            out.append((i, j - 1, "token", 1.0))
+    # only windows that begin at most a window's length before one of the words can hold any
+    for i in sorted({i for k in at for i in range(max(0, k - win + 1), k + 1)}):
+        if i < max(0, len(low) - 1):
+            j = min(len(low), i + win)
+            if len({low[k] for k in at[bisect_left(at, i) : bisect_left(at, j)]}) >= need:
+                out.append((i, j - 1, "token", 1.0))
     return out
 
 
@@ -132,15 +196,33 @@ def relaxed_subsequence(low: list[str], toks: list[str], relax: float = 0.2) ->
 
 
 def window_hits(docs: DataFrame, patterns: list[tuple[str, list[str]]], relax: float = 0.2) -> DataFrame:
-    return _per_text(docs, patterns, lambda low, toks: token_window(low, toks, relax))
+    return _per_text(docs, patterns, lambda low, toks: token_window(low, toks, relax), _share(relax))
 
 
 def all_token_hits(docs: DataFrame, patterns: list[tuple[str, list[str]]], relax: float = 0.2) -> DataFrame:
-    return _per_text(docs, patterns, lambda low, toks: token_window_all(low, toks, relax))
+    return _per_text(docs, patterns, lambda low, toks: token_window_all(low, toks, relax), lambda toks: len(set(toks)))
 
 
 def subsequence_hits(docs: DataFrame, patterns: list[tuple[str, list[str]]], relax: float = 0.2) -> DataFrame:
-    return _per_text(docs, patterns, lambda low, toks: relaxed_subsequence(low, toks, relax))
+    return _per_text(docs, patterns, lambda low, toks: relaxed_subsequence(low, toks, relax), lambda toks: 1)
+
+
+def pick(found: list[tuple], by: str = "source") -> list[tuple]:
+    """The greedy choice of :func:`resolve` over one text's (start, end, skill_id, source, match, score)."""
+    if by == "source":
+        order = lambda f: (-RANK_BY_SOURCE[f[3]], f[0] - f[1], f[0], -f[5], f[2])
+    else:
+        order = lambda f: (f[0], f[0] - f[1], -RANK_BY_START[f[3]], -f[5], f[2])
+    starts: list[int] = []
+    ends: list[int] = []
+    out = []
+    for f in sorted(set(found), key=order):
+        at = bisect_right(starts, f[0])  # kept spans are apart, so that only the neighbours can clash
+        if (at == 0 or ends[at - 1] <= f[0]) and (at == len(starts) or starts[at] >= f[1]):
+            starts.insert(at, f[0])
+            ends.insert(at, f[1])
+            out.append(f)
+    return out
 
 
 def resolve(hits: DataFrame, by: str = "source") -> DataFrame:
@@ -187,6 +269,40 @@ def training_examples(docs: DataFrame, spans: DataFrame, skills: DataFrame) -> D
     return j.select("doc_id", F.concat(F.expr("substring(to_json(struct(text)), 1, length(to_json(struct(text))) - 1)"), F.lit(', "labels": ['), F.array_join(labels, ", "), F.lit("]}")).alias("value"))
 
 
+ANNOTATION = "array<struct<start:int,end:int,label:string,text:string>>"
+
+
+def parse_annotations(raw: DataFrame, value: str = "value") -> DataFrame:
+    """(doc_id, text, start, end, label, piece) of annotation lines {"text", "labels"}.
+
+    Labels may be [start, end, label] lists, or objects with start, end, label and text; offsets may be
+    strings. A line that is no JSON, an unknown shape and a label without offsets give no row.
+    """
+    j = raw.select("doc_id", F.get_json_object(value, "$.text").alias("text"), F.from_json(F.get_json_object(value, "$.labels"), "array<string>").alias("labels"))
+    e = j.select("doc_id", "text", F.explode("labels").alias("l"))
+    at = lambda k, i: F.coalesce(F.get_json_object("l", f"$.{k}"), F.get_json_object("l", f"$[{i}]"))
+    out = e.select("doc_id", "text", at("start", 0).try_cast("int").alias("start"), at("end", 1).try_cast("int").alias("end"), at("label", 2).alias("label"), at("text", 3).alias("piece"))
+    return out.filter("text IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL AND label IS NOT NULL")
+
+
+def reanchored(spans: DataFrame, reach: int = 64) -> DataFrame:
+    """(doc_id, start, end, label, piece): spans (with text and piece) moved to where their piece stands within
+    ``reach`` characters, longest first, spans that overlap a longer one left out. Without a piece the offsets hold.
+    """
+    own = F.coalesce("piece", F.expr("substring(text, start + 1, end - start)"))
+    t = spans.withColumn("piece", own).filter("piece <> ''")
+    lo = F.greatest(F.lit(0), F.col("start") - reach)
+    near = F.substr("text", lo + 1, F.least(F.length("text"), F.col("end") + reach) - lo)
+    fits = F.expr("substring(text, start + 1, length(piece))") == F.col("piece")
+    found = F.when(fits, F.col("start")).otherwise(F.when(F.instr(near, F.col("piece")) > 0, lo + F.instr(near, F.col("piece")) - 1))
+    t = t.withColumn("start", found.cast("int")).filter("start IS NOT NULL").withColumn("end", (F.col("start") + F.length("piece")).cast("int"))
+    s = F.struct((F.col("start") - F.col("end")).alias("k"), "start", "end", "label", "piece")
+    per = t.groupBy("doc_id").agg(F.array_sort(F.collect_set(s)).alias("h"))  # bounded by one text
+    clash = lambda acc, x: F.exists(acc, lambda c: (x["start"] < c["end"]) & (c["start"] < x["end"]))
+    kept = F.aggregate("h", F.filter("h", lambda x: F.lit(False)), lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    return per.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.start", "x.end", "x.label", "x.piece")
+
+
 def reanchor(text: str, start: int, end: int, piece: str, reach: int = 64) -> tuple[int, int] | None:
     """Where ``piece`` stands within ``reach`` characters of a span whose offsets don't fit."""
     if text[start:end] == piece:

@@ -199,7 +199,7 @@ def texts(s, d):
 
 def token_forms(s, d):
     f = dictionary.surface_forms(table(s, d, "skills_processed")).filter("match_on_tokens")
-    return [(r["skill_id"], r["high"].split(" ")) for r in f.select("skill_id", "high").collect()]  # the skill dictionary
+    return [(r["skill_id"], r["high"].split(" ")) for r in spans.dictionary_rows(f.select("skill_id", "high"))]
 
 
 SPAN = ("doc_id", "start", "end", "skill_id", "source", "match")
@@ -228,19 +228,18 @@ def _(s, d):
 @query("span_resolve")
 def _(s, d):
     t = texts(s, d)
-    hits = spans.tier_hits(t, patterns(s, d)).unionByName(spans.window_hits(t, token_forms(s, d)))
-    return spans.resolve(hits).select(*SPAN)
+    return spans.scan(t, patterns(s, d), token_forms(s, d), resolved="source").select(*SPAN)
 
 
 @query("span_counts")
 def _(s, d):
-    return spans.occurrences(spans.resolve(spans.tier_hits(texts(s, d), patterns(s, d)), "start"))
+    return spans.occurrences(spans.tier_hits(texts(s, d), patterns(s, d), "start"))
 
 
 @query("training_export")
 def _(s, d):
     t = texts(s, d)
-    return spans.training_examples(t, spans.resolve(spans.tier_hits(t, patterns(s, d))), table(s, d, "skills_processed"))
+    return spans.training_examples(t, spans.tier_hits(t, patterns(s, d), "source"), table(s, d, "skills_processed"))
 
 
 @query("annotate")
