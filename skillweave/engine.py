@@ -9,6 +9,7 @@ from skillweave.functions.ids import stable_id
 from skillweave.functions.text import merge_jd
 from skillweave.operators import features, ranker, spans
 from skillweave.operators.features import Embedder, HashedEmbedder
+from skillweave.runtime import materialize
 from skillweave.schema import FeatureConfig, require_columns
 from skillweave.sources.index_store import IndexStore
 
@@ -38,10 +39,13 @@ class Engine:
         text = merge_jd("job_requirement", "job_description")
         r = requests.select(F.coalesce("jd_id", stable_id(text, "jd")).alias("jd_id"), text.alias("job_description_text")).filter("job_description_text <> ''")
         c = candidates.select("jd_id", F.coalesce("cv_id", stable_id("resume_text", "cv")).alias("cv_id"), "resume_text")
-        p = c.join(r, "jd_id").withColumn("row_id", F.xxhash64("jd_id", "cv_id", "resume_text"))
+        # a candidate counts once per request, with the smallest of its texts; so does a request that comes twice
+        r = r.groupBy("jd_id").agg(F.min("job_description_text").alias("job_description_text"))
+        c = c.filter("jd_id IS NOT NULL").groupBy("jd_id", "cv_id").agg(F.min("resume_text").alias("resume_text"))
+        p = materialize(c.join(r, "jd_id").withColumn("row_id", F.sha2(F.concat_ws("\u0001", "jd_id", "cv_id"), 256)), "rank-pairs")
         f = features.build(p, self.aliases, self.cfg, self.embedder)
         scored = self.model.predict(f) if self.model else f.withColumn("pred", F.col("final_score"))
-        s = scored.select("row_id", "pred").join(p.select("row_id", "jd_id", "cv_id").dropDuplicates(["row_id"]), "row_id")
+        s = scored.select("row_id", "pred").join(p.select("row_id", "jd_id", "cv_id"), "row_id")
         best = ranker.rank(s, "jd_id", "pred", "cv_id", topk)
         return best.select("jd_id", "cv_id", "pred", F.col("pred").alias("score"), "place")
 

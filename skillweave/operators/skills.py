@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skillweave.functions.text import clean_text
-from skillweave.runtime import broadcast_if_small
+from skillweave.functions.text import clean_text, ngrams, tokens
+from skillweave.runtime import broadcast_if_small, materialize
 
+MOST_ALIASES, MOST_HEADS = 1_000_000, 50_000
 LEX = r"([A-Za-z0-9_]+|[^A-Za-z0-9_])"
 
 
@@ -42,13 +48,18 @@ def phrase_hits(docs: DataFrame, aliases: DataFrame) -> DataFrame:
     a = aliases.withColumn("n", F.size(lex(F.col("alias"))))
     lengths = [r["n"] for r in a.select("n").distinct().collect()] or [1]  # bounded by the longest alias
     toks = docs.select("doc_id", lex(F.col("text")).alias("t"))
+    heads = [r["h"] for r in a.select(lex(F.col("alias"))[0].alias("h")).distinct().limit(MOST_HEADS + 1).collect()]
+    # windows are only made where an alias can begin, as long as the first tokens are few enough to be tested in place
+    begins = (lambda w: w.isin(heads)) if len(heads) <= MOST_HEADS else (lambda w: F.lit(True))
 
     def windows(n: int) -> Column:
-        at = F.when(F.size("t") >= n, F.sequence(F.lit(1), F.size("t") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        at = F.filter("at", lambda i: i <= F.size("t") - (n - 1))
         return F.transform(at, lambda i: F.struct(
             i.alias("start"), F.lit(n).alias("length"), F.array_join(F.slice("t", i, n), "").alias("alias"), F.get("t", i - 2).alias("before"), F.get("t", i + (n - 1)).alias("after")))
 
     # one pass for all lengths; the generator keeps no array beside its rows
+    places = F.transform(F.filter(F.transform("t", lambda w, i: F.struct(w.alias("w"), (i + 1).alias("i"))), lambda x: begins(x["w"])), lambda x: x["i"])
+    toks = toks.select("doc_id", "t", places.alias("at"))
     w = toks.select("doc_id", F.explode(F.concat(*[windows(n) for n in sorted(lengths)])).alias("w")).select("doc_id", "w.*")
     word = lambda c: F.coalesce(F.col(c).rlike("^[A-Za-z0-9_]"), F.lit(False))
     # aliases that begin or end with another sign need a boundary of their own
@@ -65,9 +76,69 @@ def leftmost(hits: DataFrame) -> DataFrame:
     return per.select("doc_id", F.explode(F.aggregate("h", init, step)["out"]).alias("x")).select("doc_id", "x.*")
 
 
-def extract(docs: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(doc_id, skills): the sorted set of canonical names found in each text; every doc_id has a row."""
-    found = leftmost(phrase_hits(docs, aliases)).groupBy("doc_id").agg(F.array_sort(F.collect_set("canonical")).alias("skills"))
+@dataclass(frozen=True)
+class FuzzyTier:
+    """The second tier of an extraction: phrases near a skill's vector. Without an encoder there is none."""
+
+    embedder: object
+    at_least: float = 0.70
+    max_words: int = 4
+    #: Of each text, so many candidates in order are looked up; this bound is part of the operator.
+    first: int = 500
+
+
+def candidates(docs: DataFrame, aliases: DataFrame, max_words: int = 4, first: int = 500) -> DataFrame:
+    """(doc_id, pos, gram): the different n-grams of a text's tokens (shortest n first, then by place) of 2 to 64
+    characters that are no alias, up to ``first`` of them. The aliases are a dictionary of checked size."""
+    known = [r["alias"] for r in aliases.select("alias").distinct().limit(MOST_ALIASES + 1).collect()]
+    if len(known) > MOST_ALIASES:
+        raise ValueError(f"more than {MOST_ALIASES} aliases")
+    lengths = sorted({1, 2, 3, max(1, min(max_words, 4))})
+    t = docs.select("doc_id", tokens("text").alias("t"))
+    grams = F.array_distinct(F.concat(*[ngrams("t", n) for n in lengths]))
+    good = F.filter(grams, lambda g: F.length(g).between(2, 64) & ~g.isin(known))
+    return t.select("doc_id", F.posexplode(F.slice(good, 1, first)).alias("pos", "gram"))
+
+
+def fuzzy(docs: DataFrame, aliases: DataFrame, tier: FuzzyTier, block: int = 4096) -> DataFrame:
+    """(doc_id, canonical): the skills nearest to the candidates of each text, if near enough. Each different
+    candidate is encoded once; a skill's vector is the mean of its aliases' vectors."""
+    cand = materialize(candidates(docs, aliases, tier.max_words, tier.first), "fuzzy-cand")
+    own = aliases.groupBy("canonical").agg(F.array_sort(F.collect_set("alias")).alias("a")).orderBy("canonical").collect()  # bounded by candidates()
+    if not own:
+        return cand.select("doc_id", F.col("gram").alias("canonical")).limit(0)
+    names = [r["canonical"] for r in own]
+    mean = np.stack([np.mean(np.asarray(tier.embedder.encode(list(r["a"])), dtype=np.float64), axis=0) for r in own])
+    shared = docs.sparkSession.sparkContext.broadcast((names, mean))
+    encoder, at_least = tier.embedder, tier.at_least
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, mean = shared.value
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            v = np.asarray(encoder.encode(list(pdf["gram"])), dtype=np.float64)
+            best, where = np.full(len(v), -np.inf), np.zeros(len(v), dtype=np.int64)
+            for k in range(0, len(mean), block):
+                s = np.round(v @ mean[k : k + block].T, 9)
+                i = s.argmax(1)
+                top = s[np.arange(len(v)), i]
+                where, best = np.where(top > best, k + i, where), np.maximum(top, best)
+            ok = best >= at_least
+            yield pd.DataFrame({"gram": pdf["gram"][ok].to_numpy(), "canonical": [names[i] for i in where[ok]]})
+
+    near = materialize(cand.select("gram").distinct().mapInPandas(run, "gram string, canonical string"), "fuzzy-near")
+    return cand.join(broadcast_if_small(near), "gram").select("doc_id", "canonical").distinct()
+
+
+def extract(docs: DataFrame, aliases: DataFrame, tier: FuzzyTier | None = None) -> DataFrame:
+    """(doc_id, skills): the sorted set of canonical names found in each text; every doc_id has a row.
+
+    Aliases are matched as phrases; with a ``tier``, phrases near a skill's vector count as well."""
+    hits = leftmost(phrase_hits(docs, aliases)).select("doc_id", "canonical")
+    if tier is not None:
+        hits = hits.unionByName(fuzzy(docs, aliases, tier))
+    found = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("canonical")).alias("skills"))
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("skills", F.array().cast("array<string>")).alias("skills"))
 
 
@@ -85,8 +156,6 @@ def mine_phrases(texts: DataFrame, exclude: DataFrame, blacklist: tuple[str, ...
     """(phrase, freq): n-grams of the column ``text`` that are no known alias, no number and frequent enough."""
     word = r"([a-zA-ZÀ-ỹ0-9+#.\-]{2,})"
     t = texts.select(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(1)).alias("t"))
-    from skillweave.functions.text import ngrams
-
     grams = t.select(F.explode(F.concat(*[ngrams("t", n) for n in range(1, max_n + 1)])).alias("phrase"))
     counted = grams.groupBy("phrase").agg(F.count("*").alias("freq")).filter(F.col("freq") >= min_freq)
     ok = (F.length("phrase") > 2) & ~F.col("phrase").isin(*blacklist) & ~F.col("phrase").rlike(r"^[0-9.]+$")

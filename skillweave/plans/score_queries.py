@@ -122,6 +122,22 @@ def _(s, d):
     return skills.extract(t, full_dictionary(s, d)).select("doc_id", F.size("skills").alias("n"), F.array_join("skills", ",").alias("skills"))
 
 
+@query("fuzzy_candidates", rf"""WITH {DICT}, al AS (SELECT list(alias) AS known FROM dict), t AS (SELECT doc_id, {sql.tokens('text')} AS t FROM documents), g AS (SELECT doc_id, n, i, array_to_string(t[i : i + n - 1], ' ') AS gram FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM t, range(1, 5) r(n))),
+f AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY min(n), min(i)) AS pos FROM g, al WHERE len(gram) BETWEEN 2 AND 64 AND NOT list_contains(known, gram) GROUP BY doc_id, gram) SELECT doc_id, pos - 1 AS pos, gram FROM f WHERE pos <= 500""")
+def _(s, d):
+    """The phrases that the fuzzy tier looks up: the first 500 of each text in order."""
+    t = spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", text.clean_text("text").alias("text"))
+    return skills.candidates(t, full_dictionary(s, d)).select("doc_id", F.col("pos").cast("long").alias("pos"), "gram")
+
+
+@query("skill_extract_fuzzy")
+def _(s, d):
+    """Both tiers, with the hashed stand-in for the encoder."""
+    t = spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", text.clean_text("text").alias("text"))
+    x = skills.extract(t, full_dictionary(s, d), skills.FuzzyTier(features.HashedEmbedder(256)))
+    return x.select("doc_id", F.size("skills").alias("n"), F.array_join("skills", ",").alias("skills"))
+
+
 @query("vendor_cov", f"{_SK} SELECT row_id, round(CASE WHEN len(wanted) = 0 THEN 0 ELSE (len(list_intersect(skills, wanted)) + 1.0) / (len(wanted) + 2.0) END, 6) AS cov, array_to_string(list_sort(list_intersect(skills, wanted)), ',') AS shared, round(len(list_intersect(skills, wanted)) / greatest(len(list_distinct(list_concat(skills, wanted))), 1), 6) AS jaccard FROM sk")
 def _(s, d):
     p = pair_skills(s, d)

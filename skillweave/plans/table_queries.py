@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skillweave.functions import text
 from skillweave.functions.vectors import l2_normalize, norm
 from skillweave.operators import dictionary, knn, spans
+from skillweave.plans import sql
 from skillweave.runtime import materialize, shared_folder, spread, table
 from skillweave.sources import tables
 from skillweave.sources.index_store import IndexStore
@@ -202,20 +203,23 @@ def token_forms(s, d):
     return [(r["skill_id"], r["high"].split(" ")) for r in spans.dictionary_rows(f.select("skill_id", "high"))]
 
 
+_HEAD = f"WITH {sql.PATTERNS}, {sql.WORDS}"
+_COLS = 'doc_id, start, "end", skill_id, source, match'
+_BOTH = f"{_HEAD}, {sql.TIERS}, {sql.TOKENS}, {sql.TOKEN_WINDOW}, {sql.resolved('FROM th UNION ALL FROM kh', 'source')}"
 SPAN = ("doc_id", "start", "end", "skill_id", "source", "match")
 
 
-@query("span_tiers")
+@query("span_tiers", f"{_HEAD}, {sql.TIERS} SELECT {_COLS} FROM th")
 def _(s, d):
     return spans.tier_hits(texts(s, d), patterns(s, d)).select(*SPAN)
 
 
-@query("token_window")
+@query("token_window", f"{_HEAD}, {sql.TOKENS}, {sql.TOKEN_WINDOW} SELECT {_COLS} FROM kh")
 def _(s, d):
     return spans.window_hits(texts(s, d), token_forms(s, d)).select(*SPAN)
 
 
-@query("token_window_all")
+@query("token_window_all", f"{_HEAD}, {sql.TOKENS}, {sql.TOKEN_WINDOW_ALL} SELECT {_COLS} FROM ah")
 def _(s, d):
     return spans.all_token_hits(texts(s, d), token_forms(s, d)).select(*SPAN)
 
@@ -225,29 +229,31 @@ def _(s, d):
     return spans.subsequence_hits(texts(s, d), token_forms(s, d)).select(*SPAN, "score")
 
 
-@query("span_resolve")
+@query("span_resolve", f"{_BOTH} SELECT {_COLS} FROM rs")
 def _(s, d):
     t = texts(s, d)
     return spans.scan(t, patterns(s, d), token_forms(s, d), resolved="source").select(*SPAN)
 
 
-@query("span_counts")
+@query("span_counts", f"{_HEAD}, {sql.TIERS}, {sql.resolved('FROM th', 'start')} SELECT doc_id, skill_id, count(*) AS occurrences FROM rs GROUP BY 1, 2")
 def _(s, d):
     return spans.occurrences(spans.tier_hits(texts(s, d), patterns(s, d), "start"))
 
 
-@query("training_export")
+@query("training_export", f"""{_HEAD}, {sql.TIERS}, {sql.resolved('FROM th', 'source')}, lb AS (SELECT doc_id, array_to_string(list('[' || start || ', ' || "end" || ', "' || skill_type || '"]' ORDER BY start, "end", skill_type), ', ') AS l FROM rs JOIN skills_processed USING (skill_id) GROUP BY 1)
+SELECT doc_id, '{{"text":' || CAST(to_json(text) AS VARCHAR) || ', "labels": [' || coalesce(l, '') || ']}}' AS value FROM documents LEFT JOIN lb USING (doc_id) WHERE text IS NOT NULL""")
 def _(s, d):
     t = texts(s, d)
     return spans.training_examples(t, spans.tier_hits(t, patterns(s, d), "source"), table(s, d, "skills_processed"))
 
 
-@query("annotate")
+@query("annotate", f"""{_BOTH} SELECT doc_id, CAST(count(*) FILTER (rs.source = 'high') AS INT) AS "full", CAST(count(*) FILTER (rs.source NOT IN ('high', 'token')) AS INT) AS partial, CAST(count(*) FILTER (rs.source = 'token') AS INT) AS token, CAST(count(DISTINCT skill_id) AS INT) AS skills FROM documents LEFT JOIN rs USING (doc_id) WHERE text IS NOT NULL GROUP BY 1""")
 def _(s, d):
     from skillweave.engine import Engine
 
     a = Engine(s, None).annotate(texts(s, d), patterns(s, d), table(s, d, "skills_processed"))
-    return a.select("doc_id", F.size("results.full_matches").alias("full"), F.size("results.partial_matches").alias("partial"), F.size("results.token_scanner").alias("token"), F.size("unique_skills").alias("skills"))
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return a.select("doc_id", n("results.full_matches").alias("full"), n("results.partial_matches").alias("partial"), n("results.token_scanner").alias("token"), n("unique_skills").alias("skills"))
 
 
 @query("events_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
