@@ -22,7 +22,7 @@ def p1_collapsed(s, d):
 
 
 def p2_found(s, d):
-    return cross_split.overlaps(table(s, d, "dataset_train"), table(s, d, "dataset_test"))
+    return cross_split.overlaps(table(s, d, "dataset_train"), table(s, d, "dataset_test")).select("train_row_id", "test_row_id")
 
 
 def p2_report(s, d):

@@ -81,7 +81,11 @@ def test_overlaps_against_brute_force(spark):
     te += [(1900, "j", "c", "---", "...", 0, None), (1901, "j", "c", base[0][1], None, 0, None)]
     jac = lambda a, b: len(a & b) / len(a | b) if a | b else 0
     want = sorted((a[0], b[0]) for a in tr for b in te if a[3] and a[4] and b[3] and b[4] and jac(words(a[4]), words(b[4])) >= 0.8 and jac(words(a[3]), words(b[3])) >= 0.8)
-    got = rows_of(cross_split.overlaps(train(spark, tr), train(spark, te)))
+    whole = cross_split.overlaps(train(spark, tr), train(spark, te)).collect()
+    texts = {r[0]: words(r[4]) for r in (*tr, *te) if r[4]}
+    assert all(0 < r["dot"] and 0 < r["cosine"] <= 1 + 1e-9 for r in whole)
+    assert all(r["cosine"] == pytest.approx(1) for r in whole if texts[r["train_row_id"]] == texts[r["test_row_id"]])
+    got = sorted((r["train_row_id"], r["test_row_id"]) for r in whole)
     assert [x for x in got if x[0] < 900] == want and want
     assert cross_split.overlaps(train(spark, tr).limit(0), train(spark, te)).count() == 0
 
