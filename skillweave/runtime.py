@@ -29,9 +29,13 @@ def build_session(app: str = "skillweave", master: str | None = None, **conf) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset a local session gets a temporary one; a cluster,
+    whose executors would not share it, is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="skillweave-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")

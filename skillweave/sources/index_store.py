@@ -37,18 +37,22 @@ class IndexStore:
         p = self._prepare(df)
         if p.isEmpty():
             raise ValueError("no vectors to index")
-        p.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/vectors")
-        meta = self.load().agg(F.count("*").alias("count"), F.max(F.size("vec")).alias("dim"), F.min(F.size("vec")).alias("low")).first()
+        # checked before anything is overwritten: a bad input leaves the index as it was
+        meta = p.filter("vec IS NOT NULL").agg(F.max(F.size("vec")).alias("dim"), F.min(F.size("vec")).alias("low")).first()
         if meta["dim"] != meta["low"]:
             raise ValueError("vectors of different lengths")
-        self.spark.createDataFrame([(meta["dim"], meta["count"], "ip", kind)], "dim int, count bigint, metric string, index_kind string").withColumn("created_at", F.current_timestamp()).write.mode("overwrite").json(f"{self.path}/meta")
+        p.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/vectors")
+        count = self.load().count()
+        self.spark.createDataFrame([(meta["dim"], count, "ip", kind)], "dim int, count bigint, metric string, index_kind string").withColumn("created_at", F.current_timestamp()).write.mode("overwrite").json(f"{self.path}/meta")
 
     def append(self, df: DataFrame) -> None:
         self._prepare(df).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/vectors")
 
     def load(self) -> DataFrame:
         raw = self.spark.read.parquet(f"{self.path}/vectors")
-        last = raw.groupBy("item_id").agg(F.max_by(F.struct("vec", "is_active"), "updated_at").alias("s"), F.max("updated_at").alias("updated_at"))
+        # a missing time counts as the oldest; of equal times a deletion, then the larger vector, is taken
+        order = F.struct(F.coalesce("updated_at", F.lit("0001-01-01").cast("timestamp")), ~F.coalesce("is_active", F.lit(True)), "vec")
+        last = raw.groupBy("item_id").agg(F.max_by(F.struct("vec", F.coalesce("is_active", F.lit(True)).alias("is_active")), order).alias("s"), F.max("updated_at").alias("updated_at"))
         return last.select("item_id", "s.vec", "updated_at", "s.is_active").filter("is_active")
 
     def meta(self) -> DataFrame:
