@@ -475,3 +475,19 @@ def test_every_match_of_a_pattern_keeps_its_template_and_holds_an_anchor(spark):
     assert df.select("n").distinct().count() == len(residue.PATTERNS)
     lost = df.filter(F.col("text").rlike(residue.any_of(p for _, p in residue.PATTERNS)) & ~F.exists("templates", lambda t: residue.classify(t).isNotNull()))
     assert [r["text"] for r in lost.collect()] == []
+
+
+# 4, the table under its name ----------------------------------------------------------------------
+
+
+def test_component_table_keeps_versions_and_names_by_the_smallest_jd(spark):
+    name = f"components-{random.random()}"
+    comps = group_split.ComponentTable(spark, name)
+    assert comps.load() is None
+    first = comps.add(train(spark, [(1, "m", "x", "t", "r", 0, None), (2, "z", "y", "t", "r", 0, None), (3, None, "only", "t", "r", 0, None), (4, None, None, "t", "r", 0, None), (5, " ", "", "t", "r", 0, None)]))
+    assert {r["entity"]: r["component"] for r in first.collect()} == {"j:m": "j:m", "c:x": "j:m", "j:z": "j:z", "c:y": "j:z", "c:only": "c:only", "r:4": "r:4", "r:5": "r:5"}
+    second = group_split.ComponentTable(spark, name).add(train(spark, [(6, "a", "x", "t", "r", 0, None), (7, "a", "only", "t", "r", 0, None)]))
+    assert {r["entity"]: r["component"] for r in second.collect()} == {"j:a": "j:a", "j:m": "j:a", "c:x": "j:a", "c:only": "j:a", "j:z": "j:z", "c:y": "j:z", "r:4": "r:4", "r:5": "r:5"}
+    assert rows_of(group_split.found(second)) == [("a", "m")] and comps.versions() == [1, 2]
+    states = {r["component"]: (r["n_rows"], r["n_before"], r["state"]) for r in group_split.changes(first, second).collect()}
+    assert states["j:a"][:2] == (4, 2) and states["j:a"][2] in ("kept", "quarantined") and states["j:z"] == (1, 1, "kept")
