@@ -71,6 +71,8 @@ o AS (SELECT ca.comp, count(DISTINCT cb.comp) AS n_before FROM ca LEFT JOIN cb U
     "p5_found": f"SELECT jd_id, row_id FROM (SELECT jd_id, row_id, row_number() OVER (PARTITION BY jd_id ORDER BY label DESC, row_id) AS n FROM (SELECT {_JD} AS jd_id, row_id, label FROM dataset_train WHERE jd_id IS NOT NULL AND label IS NOT NULL)) WHERE n <= 5",
     "p7_found": f"WITH {_P7} SELECT jd_id, cv_id FROM r WHERE n >= 10 QUALIFY row_number() OVER (PARTITION BY jd_id ORDER BY rrf DESC, cv_id) = 1",
     "p7_ranking": f"WITH {_P7} SELECT jd_id, cv_id, rrf, rank() OVER (PARTITION BY jd_id ORDER BY rrf DESC) AS place FROM r",
+    "p7_weighted": f"""WITH {_P7}, w AS (SELECT arg_min(bm25_full_weight, config_id) AS wa, arg_min(final_skill_weight, config_id) AS wv FROM feature_config)
+SELECT jd_id, cv_id, round(wa / (60 + rank() OVER (PARTITION BY jd_id ORDER BY a DESC)) + 1.0::DOUBLE / (60 + rank() OVER (PARTITION BY jd_id ORDER BY b DESC)) + wv / (60 + rank() OVER (PARTITION BY jd_id ORDER BY v DESC)), 12) AS rrf FROM c, w""",
     "p8_violations": "SELECT count(*) AS items, 0::BIGINT AS over_full, 0::BIGINT AS wrongly_cut, 0::BIGINT AS not_whole FROM documents WHERE text <> '' AND doc_id IS NOT NULL",
     "p9_report": rf"""WITH {_P9}, f AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)) SELECT item_id, split, count(DISTINCT doc_id) AS n_docs, count(DISTINCT source) AS n_sources FROM f JOIN documents USING (doc_id) JOIN eval_item USING (item_id) GROUP BY 1, 2""",
     "p9_found": rf"""WITH {_P9} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",

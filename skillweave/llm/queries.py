@@ -101,6 +101,13 @@ def p7_ranking(s, d):
     return r.select(F.col("grp").alias("jd_id"), F.col("item").alias("cv_id"), "rrf", "place")
 
 
+def p7_weighted(s, d):
+    """The fused ranking with the weights of the first configuration: that of BM25, 1 for the vectors, that of the skills."""
+    c = table(s, d, "feature_config").orderBy("config_id").select("bm25_full_weight", "final_skill_weight").first()
+    r = rank_fusion.ranking(table(s, d, "features"), rank_fusion.SCORES, weights=(c["bm25_full_weight"], 1.0, c["final_skill_weight"]))
+    return r.select(F.col("grp").alias("jd_id"), F.col("item").alias("cv_id"), "rrf")
+
+
 def p8_packing(s, d):
     items = materialize(packing.sizes(table(s, d, "documents")), "p8-sizes")
     return packing.pack(items)
