@@ -1,17 +1,20 @@
 """Problem 10: template residue, filler text, error pages and script notices.
 
-Texts are cut into messages (sentences and lines), and every message of the corpus goes down a prefix
-tree of fixed depth: its number of tokens, then its first ``DEPTH`` tokens lead to a leaf. In a leaf,
-messages form one template if they agree on all telling tokens: the words that occur in the verdict
-patterns, signs and status codes. All other words are parameters (``w``), numbers are ``#``. As no telling
-token is ever a parameter, a template tells as much as each of its messages, whatever else the corpus
-holds: more rows never take a verdict away. In a message without any of the patterns' anchor words
-(each pattern needs one of its own) every token is a parameter, so that ordinary sentences share a few
-templates by their length alone.
-
-The tree is one aggregation with map-side combining. Each template is classified once, and its verdict
-goes to all documents that hold it. Unfilled fields inside ordinary records are found separately, by
-their delimiters, in the same pass over the texts.
+Texts are cut into messages (sentences and lines) with numbers as ``#``, and every distinct message of the corpus
+goes down a prefix tree of fixed depth: its number of tokens, then its first ``DEPTH`` tokens lead to a leaf. In a
+leaf, a message joins the template with which it shares most tokens at the same places, if these are ``SIMILARITY``
+of all, or begins a template of its own; where the members of a template differ, it holds ``<*>``.
+
+Only messages with the same telling form share a template: the words that occur in the verdict patterns, signs and
+status codes must agree, all other words are ``w``. So a template tells as much as each of its messages, whatever else
+the corpus holds: more rows never take a verdict away. A message without any of the patterns' anchor words (each
+pattern needs one of its own) tells nothing but its length, so that ordinary messages meet by similarity alone.
+
+Templates are grown in two steps, first from the distinct messages of each partition, then from these candidates by
+leaf, so that a hot leaf comes together only as its candidates. The first step depends on how rows are dealt to
+partitions, and with it which ordinary words are kept; verdicts do not. Each template is classified once, and the
+documents' messages go down the tree again to the templates with a verdict. Unfilled fields inside ordinary records
+are found separately, by their delimiters, in the same pass over the texts.
 
 Null and blank texts, empty tables and documents with a null id have no verdict; repeated rows give one;
 other columns are ignored, whatever their names.
@@ -19,15 +22,24 @@ other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterable
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
+from operator import eq, itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillweave.runtime import broadcast_if_small, materialize
 
 DEPTH = 3
+#: The least share of equal tokens between a message and its template, and what stands where messages differ.
+SIMILARITY = 0.5
+WILD = "<*>"
+LEAF = ("n_tokens", "head", "telling")
 HTML_TAG = r"</?(?i:p|div|br|span|li|ul|ol|b|i|em|strong|h[1-6]|td|tr|table|body|html|section|blockquote|pre)(?:\s[^<>]{0,200})?/?>"
 
 #: A field's name, as used between brackets that also occur in ordinary text.
@@ -160,8 +172,10 @@ def _trie(words: Iterable[str]) -> str:
 #: A word that no pattern holds; "xxxxx" counts as the filler word "xxx".
 PARAMETER = rf"(?<![\p{{L}}\p{{M}}])(?!(?:{_trie(telling_words())})(?![\p{{L}}\p{{M}}]))[\p{{L}}\p{{M}}]+"
 LONG_X = r"(?<![\p{L}\p{M}])xxx+(?![\p{L}\p{M}])"
-NUMBER = r"(?<!\p{N})(?![45]\p{N}{2}(?!\p{N}))\p{N}+"
-ANCHOR = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{_trie({w for a, _ in PATTERNS for w in a.split()})})(?![\p{{L}}\p{{M}}\p{{N}}])"
+NUMBER = r"(?=\p{N})(?<!\p{N})(?![45]\p{N}{2}(?!\p{N}))\p{N}+"
+ANCHOR_WORDS = sorted({w for a, _ in PATTERNS for w in a.split()})
+ANCHOR = rf"(?=[{''.join(sorted({w[0] for w in ANCHOR_WORDS}))}])(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{_trie(ANCHOR_WORDS)})(?![\p{{L}}\p{{M}}\p{{N}}])"
+QUOTES = " \"“”'‘’"
 
 
 def contains_any(text: Column, parts: Iterable[str]) -> Column:
@@ -173,45 +187,131 @@ def contains_any(text: Column, parts: Iterable[str]) -> Column:
 
 def has_slot(text: Column) -> Column:
     """True if the text holds an unfilled template field."""
-    plain = F.regexp_replace(F.regexp_replace(text, "&lt;", "<"), "&gt;", ">")
+    plain = F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">"))
     return plain.rlike(f"{SLOT_START}(?:{any_of(SLOTS)})") | (contains_any(text, INSERTS) & text.rlike(INSERT_SLOT))
 
 
-def abstract(text: Column) -> Column:
-    """The text in lower case with tags as line ends, parameters as ``w``, numbers as ``#`` and single blanks."""
+def messages_of(text: Column) -> Column:
+    """The distinct messages of a text, in lower case with tags as line ends, numbers as ``#`` and single blanks. Hard-wrapped
+    texts are also read with their lines joined."""
+
+    def masked(low: Column) -> Column:
+        short = F.when(low.contains("xxx"), F.regexp_replace(low, LONG_X, "xxx")).otherwise(low)
+        return F.regexp_replace(F.regexp_replace(short, NUMBER, "#"), r"[\p{Z}\t\x0B\f]+", " ")
+
+    def cut(t: Column) -> Column:
+        sentence = r" (?<=[.!?] )"
+        by_line, joined = F.split(t, rf"[\r\n]+|{sentence}"), F.split(F.regexp_replace(t, r"\s+", " "), sentence)
+        return F.when(t.contains("\n") | t.contains("\r"), F.concat(by_line, joined)).otherwise(F.split(t, sentence))
+
+    def trimmed(m: Column) -> Column:
+        return F.rtrim(F.ltrim(m, F.lit(QUOTES + ">*•#-")), F.lit(QUOTES))
+
     plain = F.when(text.contains("<"), F.regexp_replace(text, HTML_TAG, "\n")).otherwise(text)
-    low = F.regexp_replace(F.lower(plain), LONG_X, "xxx")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(low, PARAMETER, "w"), NUMBER, "#"), r"[\p{Z}\t\x0B\f]+", " ")
+    # each step's text is bound to a variable, so that it is worked out once
+    low = F.transform(F.array(F.lower(plain)), masked)
+    return F.array_distinct(F.filter(F.transform(F.flatten(F.transform(low, cut)), trimmed), lambda m: m != ""))
 
 
-def templates_of(text: Column) -> Column:
-    """The distinct templates of the messages of a text. Hard-wrapped texts are also read with their lines joined."""
+def n_tokens(message: Column) -> Column:
+    return F.length(message) - F.length(F.replace(message, F.lit(" "), F.lit(""))) + 1
 
-    def cut(t: Column) -> Column:
-        by_line = F.split(t, r"(?<=[.!?]) | ?[\r\n]+ ?|(?<=[.!?])\s+")
-        joined = F.split(F.regexp_replace(t, r"\s+", " "), r"(?<=[.!?]) ")
-        return F.when(t.rlike("[\r\n]"), F.concat(by_line, joined)).otherwise(by_line)
 
-    def template(m: Column) -> Column:
-        telling = F.regexp_replace(m, r"^[\s\"“”'‘’>*•#-]+|[\s\"“”'‘’]+$", "")
-        words = F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1
-        return F.when(m.rlike(ANCHOR), telling).otherwise(F.concat(F.lit("w x "), words.cast("string")))
+def telling_form(message: Column) -> Column:
+    """The message with parameters as ``w``; its length alone if it holds no anchor word."""
+    form = F.regexp_replace(message, PARAMETER, "w")
+    return F.when(message.rlike(ANCHOR), form).otherwise(F.concat(F.lit("w x "), n_tokens(message).cast("string")))
+
 
-    # the abstracted text is bound to a variable, so that it is worked out once
-    return F.array_distinct(F.flatten(F.transform(F.array(abstract(text)), lambda t: F.transform(cut(t), template))))
+def templates_of(text: Column) -> Column:
+    """The distinct telling forms of the messages of a text."""
+    return F.array_distinct(F.transform(messages_of(text), telling_form))
 
 
 def messages(docs: DataFrame) -> DataFrame:
-    """(doc_id, slot, templates) of each document with a text and an id."""
+    """(doc_id, slot, messages) of each document with a text and an id."""
     src = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return src.select("doc_id", has_slot(F.col("text")).alias("slot"), templates_of(F.col("text")).alias("templates"))
+    return src.select("doc_id", has_slot(F.col("text")).alias("slot"), messages_of(F.col("text")).alias("messages"))
+
+
+def head(message: Column) -> Column:
+    """The first ``DEPTH`` tokens, the inner nodes that lead to a leaf among messages of one length."""
+    return F.substring_index(message, " ", DEPTH)
+
+
+def grow(leaf: Iterable[tuple[str, int]], n: int) -> list[tuple[str, int]]:
+    """(template, support) from the messages or templates of one leaf, all of n tokens and with the same head."""
+    grown: list[list[str]] = []
+    supports: list[int] = []
+    least = math.ceil(SIMILARITY * n)
+    need = least - min(DEPTH, n)  # equal tokens behind the head
+    at: list[dict[str, list[int]]] = [defaultdict(list) for _ in range(n)]  # the templates that began with a token at a place
+    for template, support in leaf:
+        tokens = template.split(" ")
+        if need > 0:
+            # a template with so many equal tokens is in one of the lists at least, if need - 1 are left out: the longest
+            lists = sorted((at[i].get(tokens[i], ()) for i in range(DEPTH, n)), key=len)
+            near, plain = set(chain.from_iterable(lists[: len(lists) - need + 1])), [t if t != WILD else None for t in tokens]
+            most, best = max(((sum(map(eq, grown[k], plain)), -k) for k in near), default=(0, 0))
+        else:
+            most, best = (least if grown else 0), 0
+        if most < least:
+            for i in range(DEPTH, n):
+                if tokens[i] != WILD:
+                    at[i][tokens[i]].append(len(grown))
+            grown.append(tokens)
+            supports.append(support)
+        else:
+            mine = grown[-best]
+            for i in range(DEPTH, n):
+                if mine[i] != tokens[i]:
+                    mine[i] = WILD
+            supports[-best] += support
+    return [(" ".join(t), k) for t, k in zip(grown, supports, strict=True)]
+
+
+def grow_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The templates of rows (leaf, template, support) in the order of their leaves; only the templates of one leaf are held
+    at a time."""
+
+    def rows():
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["leaf", "template", "support"])
+
+    out = []
+    for leaf, members in groupby(rows(), key=itemgetter(0)):
+        first, second = next(members), next(members, None)
+        if second is None:
+            out.append(first)
+        else:
+            out += [(leaf, *t) for t in grow((r[1:] for r in chain((first, second), members)), int(leaf.split("\n", 1)[0]))]
+        if len(out) >= 10_000:
+            yield batch(out)
+            out = []
+    if out:
+        yield batch(out)
+
+
+def mine_clusters(msgs: DataFrame) -> DataFrame:
+    """(n_tokens, head, telling, template, support): the templates in the tree's leaves, with the number of messages (a
+    document's equal ones count once)."""
+    kind, order = "leaf string, template string, support bigint", ["leaf", F.desc("support"), "template"]
+    m = F.col("message")
+    distinct = msgs.select(F.explode("messages").alias("message")).groupBy("message").agg(F.count("*").alias("support"))
+    leaves = distinct.select(F.concat_ws("\n", n_tokens(m), head(m), telling_form(m)).alias("leaf"), m.alias("template"), "support")  # a message has no line end
+    candidates = leaves.sortWithinPartitions(*order).mapInArrow(grow_leaves, kind)
+    grown = candidates.repartition("leaf").sortWithinPartitions(*order).mapInArrow(grow_leaves, kind)
+    node = F.split("leaf", "\n")
+    return grown.select(node[0].cast("int").alias("n_tokens"), node[1].alias("head"), node[2].alias("telling"), "template", "support")
 
 
 def mine_templates(msgs: DataFrame) -> DataFrame:
-    """(n_tokens, head, template, support): the tree's leaves and their templates, with the number of documents."""
-    t = msgs.select(F.explode("templates").alias("template")).groupBy("template").agg(F.count("*").alias("support"))
-    toks = F.split("template", " ")
-    return t.select(F.size(toks).alias("n_tokens"), F.array_join(F.slice(toks, 1, DEPTH), " ").alias("head"), "template", "support")
+    """(n_tokens, template, support): what the mined templates tell, by telling form and with the number of messages."""
+    t = mine_clusters(msgs).groupBy(F.col("telling").alias("template")).agg(F.sum("support").alias("support"))
+    return t.select(F.size(F.split("template", " ")).alias("n_tokens"), "template", "support")
 
 
 def classify(template: Column) -> Column:
@@ -223,12 +323,22 @@ def classify(template: Column) -> Column:
     return out
 
 
+def fits(message: Column, template: Column) -> Column:
+    """True if the message has the template's tokens wherever the template holds one."""
+    return F.forall(F.zip_with(F.split(template, " "), F.split(message, " "), lambda t, m: (t == m) | (t == WILD)), lambda same: same)
+
+
 def verdicts(docs: DataFrame) -> DataFrame:
     """(doc_id, kind) of each residue found."""
     msgs = materialize(messages(docs), "p10-messages")
-    mined = mine_templates(msgs).select("template", classify(F.col("template")).alias("kind")).filter("kind IS NOT NULL")
+    mined = mine_clusters(msgs).withColumn("kind", classify(F.col("telling"))).filter("kind IS NOT NULL")
     bad = materialize(mined, "p10-verdicts")
-    by_template = msgs.select("doc_id", F.explode("templates").alias("template")).join(broadcast_if_small(bad), "template").select("doc_id", "kind")
+    # down the tree again: first to the heads that lead to a verdict, and only there to the leaves and templates; keys that are
+    # never null need no null test, which Spark would work out for every message below the first join
+    m = F.col("message")
+    near = msgs.select("doc_id", F.explode("messages").alias("message")).withColumn("head", F.coalesce(head(m), F.lit(""))).join(broadcast_if_small(bad.select("head").distinct()), "head")
+    leaves = near.withColumns({"n_tokens": F.coalesce(n_tokens(m), F.lit(0)), "telling": F.coalesce(telling_form(m), F.lit(""))})
+    by_template = leaves.join(broadcast_if_small(bad), list(LEAF)).filter(fits(m, F.col("template"))).select("doc_id", "kind")
     return by_template.unionByName(msgs.filter("slot").select("doc_id", F.lit("unfilled_field").alias("kind"))).distinct()
 
 

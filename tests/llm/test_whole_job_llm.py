@@ -1,5 +1,6 @@
 """Queries of the subpackage that once did less than their whole job."""
 
+import random
 import re
 from itertools import product
 
@@ -61,6 +62,59 @@ def test_spellings_that_share_a_leaf_are_all_found(spark):
     assert {r["doc_id"] for r in residue.found(docs).collect()} == {0, 1, 2, 4, 5, 6, 7, 8, 9}
 
 
+def test_templates_come_from_the_tree_and_similarity_in_a_leaf(spark):
+    texts = [
+        "We look for people who are calm today.", "We look for people who are kind today.", "We look for people who were kind today.",
+        "We look for staff with seven sharp knives.",  # the same leaf, too few equal tokens
+        "They look for people who are calm today.", "We look for people who are calm.",  # another head, another length
+        "Request 137 for Anna was denied at 404.", "Request 99 for Boris was denied at 404.", "Request 99 for Boris was denied at 502.",  # codes tell
+    ]
+    want = {
+        "we look for people who <*> <*> today.": 3, "we look for staff with seven sharp knives.": 1, "they look for people who are calm today.": 1, "we look for people who are calm.": 1,
+        "request # for <*> was denied at 404.": 2, "request # for boris was denied at 502.": 1,
+    }
+    for parts in (1, 5):  # in one partition, and as candidates of several
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(parts)
+        assert {r["template"]: r["support"] for r in residue.mine_clusters(residue.messages(docs)).collect()} == want
+
+
+def test_the_search_in_a_leaf_finds_the_most_similar_template():
+    rnd = random.Random(1)
+
+    def plain(leaf, n):
+        grown = []
+        for t, support in leaf:
+            tokens = t.split(" ")
+            equal = [sum(a == b != residue.WILD for a, b in zip(g, tokens, strict=True)) for g, _ in grown]
+            k = max(range(len(grown)), key=lambda i: (equal[i], -i), default=None)
+            if k is None or 2 * equal[k] < n:
+                grown.append((tokens, support))
+            else:
+                grown[k] = ([a if a == b else residue.WILD for a, b in zip(grown[k][0], tokens, strict=True)], grown[k][1] + support)
+        return [(" ".join(t), k) for t, k in grown]
+
+    for n in [1, 3, 4, 6, 7, 8, 9, 12, 20] * 12:
+        words = [f"t{i}" for i in range(rnd.choice([2, 3, 6, 15]))] + [residue.WILD]
+        leaf = [(" ".join(["a", "b", "c", *rnd.choices(words, k=max(0, n - 3))][:n]), rnd.randrange(1, 5)) for _ in range(40)]
+        assert residue.grow(leaf, n) == plain(leaf, n)
+
+
+def test_every_message_fits_a_template_that_tells_what_it_tells(spark):
+    rnd = random.Random(5)
+    words = "your session has expired page not found red tea old cars 404 7 <*> lorem ipsum".split()
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.choice([1, 2, 4, 9, 9, 9]))) for _ in range(1500)]
+    msgs = residue.messages(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(6)).cache()
+    mined = residue.mine_clusters(msgs).cache()
+    m = F.col("message")
+    each = msgs.select("doc_id", F.explode("messages").alias("message")).withColumns({"n_tokens": residue.n_tokens(m), "head": residue.head(m), "telling": residue.telling_form(m)})
+    fit = each.join(mined, list(residue.LEAF)).filter(residue.fits(m, F.col("template"))).select("doc_id").distinct()
+    assert fit.count() == each.select("doc_id").distinct().count() > 0
+    assert mined.agg(F.sum("support")).first()[0] == each.count() > mined.count()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    alone = docs.filter(F.exists(residue.templates_of(F.col("text")), lambda t: residue.classify(t).isNotNull()) | residue.has_slot(F.col("text")))
+    assert {r["doc_id"] for r in residue.found(docs).collect()} == {r["doc_id"] for r in alone.collect()} != set()
+
+
 # personal information -----------------------------------------------------------------------------
 
 
