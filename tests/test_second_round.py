@@ -50,6 +50,72 @@ def test_the_fuzzy_tier_against_brute_force(spark):
     assert want[1] and {r["doc_id"]: r["skills"] for r in skills.extract(docs, aliases(spark)).collect()} == {1: [], 2: [], 3: ["python"], 4: []}
 
 
+def test_a_batch_of_candidates_with_nothing_near_is_no_error(spark):
+    docs = spark.createDataFrame([(1, "zzzz qqqq"), (2, "xxxx")], "doc_id bigint, text string")
+    assert skills.fuzzy(docs, aliases(spark), skills.FuzzyTier(features.HashedEmbedder(256))).collect() == []
+    assert {r["doc_id"]: r["skills"] for r in skills.extract(docs, aliases(spark), skills.FuzzyTier(features.HashedEmbedder(256))).collect()} == {1: [], 2: []}
+
+
+def test_the_fuzzy_tier_writes_no_candidates(spark):
+    import random
+    from pathlib import Path
+
+    rnd = random.Random(3)
+    texts = [" ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(130)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    written = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = written()
+    assert skills.extract(docs, aliases(spark), skills.FuzzyTier(features.HashedEmbedder(32))).count() == 150
+    assert written() - before <= 2 * sum(map(len, texts))
+
+
+def test_the_fuzzy_tier_takes_the_same_candidates_where_they_are_encoded(spark):
+    texts = [
+        "Write to A.B@x.com or see https://a.b/c and WWW.x.org", "<b>alpha</b> beta < gamma", "GoLang k8s CI/CD cicd nodejs react.js NextJS node.js xgolang", None, "", "the and of",
+        "\u0130stanbul \u212aelvin caf\u00e9 na\u00efve", "c++ c# .net python-3 a/b x_y", "a\u00a0b\u3000c alpha\tbeta\nalpha beta", "x " * 40 + "w" * 70, " ".join(f"t{i}" for i in range(300)), "ml python machine learning ml",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    plain = {r["doc_id"]: r["toks"] for r in docs.select("doc_id", F.array_join(skills.tokens("text"), " ").alias("toks")).collect()}
+    assert {r["doc_id"]: r["toks"] for r in skills.cleaned_tokens(docs).collect()} == plain
+    known = {"python", "machine learning", "ml"}
+    for words, first in ((4, 500), (2, 7)):
+        want: dict[int, list[str]] = {k: [] for k in plain}
+        for r in skills.candidates(docs, aliases(spark), words, first).orderBy("doc_id", "pos").collect():
+            want[r["doc_id"]].append(r["gram"])
+        assert {k: skills.candidate_list(t.split(" "), known, skills.candidate_lengths(words), first) for k, t in plain.items()} == want
+
+
+def test_the_fuzzy_tier_may_forget(spark):
+    docs = spark.createDataFrame([("a", "pythons for machine learnings"), (None, "pythons"), ("b", "pythons"), ("c", None)], "doc_id string, text string").coalesce(1)
+    tier = skills.FuzzyTier(features.HashedEmbedder(256), at_least=0.5)
+    once, again = (sorted(map(tuple, skills.fuzzy(docs, aliases(spark), tier, block, kept).collect()), key=str) for block, kept in ((4096, 1000), (1, 0)))
+    assert once == again and {d for d, _ in once} == {"a", None, "b"}
+    assert skills.fuzzy(docs, aliases(spark).limit(0), tier).count() == 0
+
+
+def test_single_precision_loses_no_near_skill():
+    rnd = np.random.default_rng(4)
+    mean, v = rnd.normal(size=(300, 64)), rnd.normal(size=(500, 64))
+    s = np.round(v @ mean.T, 9)
+    for at_least in (float(s.max(1)[7]), float(np.median(s.max(1))), -1e9, 1e9):
+        want = np.where(s.max(1) >= at_least, s.argmax(1), -1)
+        assert (skills.nearest(v, mean, at_least, 64) == want).all()
+
+
+def test_words_met_before_are_encoded_alike():
+    import zlib
+
+    e, texts = features.HashedEmbedder(64), ["alpha beta alpha", "", " ".join(f"w{i}" for i in range(6000)), "w1 w5999 alpha", "x"]
+    for t, got in zip(texts, e.encode(texts)):
+        want = np.zeros(64)
+        for w in t.split():
+            for g in (w, *(w[i : i + 3] for i in range(len(w) - 2))):
+                h = zlib.crc32(g.encode())
+                want[h % 64] += 1 if h >> 16 & 1 else -1
+        assert (got == want / max(np.linalg.norm(want), 1e-12)).all()
+
+
 def test_annotations_in_any_shape_are_moved_to_their_text(spark):
     lines = [
         (1, '{"text": "we use python and sql", "labels": [[7, 13, "HARD"], ["18", "21", "HARD"]]}'),
